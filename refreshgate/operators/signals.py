@@ -92,14 +92,6 @@ def dataset_matches(owned: DataFrame, datasets: DataFrame) -> DataFrame:
     return names.join(datasets, ["pipeline_id", "dataset"])
 
 
-def flow_completion(flow_definitions: DataFrame, flow_progress: DataFrame, owned: DataFrame) -> DataFrame:
-    """table_name -> done_ms, update_id and row counts of the latest completed flow that writes it."""
-    found = dataset_matches(owned, dataset_completion(flow_definitions, flow_progress))
-    best = F.max_by(F.struct("done_ms", "update_id", "output_rows", "upserted_rows", "deleted_rows"),
-                    F.struct("done_ms", "update_id", "dataset")).alias("best")
-    return found.groupBy("table_name", "pipeline_id").agg(best).select("table_name", "pipeline_id", "best.*")
-
-
 def flow_signal(update_id: Column, output_rows: Column, upserted_rows: Column, deleted_rows: Column) -> Column:
     """`pipeline event log, update u: output_rows=5`, naming the non-zero counts."""
     counts = {"output_rows": output_rows, "upserted_rows": upserted_rows, "deleted_rows": deleted_rows}
@@ -125,27 +117,17 @@ def job_success(job_runs: DataFrame, depth: int = RUN_DEPTH) -> DataFrame:
             .select("job_id", F.col("run.end_ms").alias("done_ms"), F.col("run.run_id").alias("run_id")))
 
 
-def update_covering(pipeline_updates: DataFrame, owned: DataFrame) -> DataFrame:
-    """table_name -> start of the latest completed update that covered it: a whole-pipeline update, or one that
-    selected the table by full or short name.
-
-    Updates are reduced to one per (pipeline, selected name) first; tables then look up at most three of them.
-    """
+def update_scopes(pipeline_updates: DataFrame) -> DataFrame:
+    """(pipeline_id, scope) -> start and id of the latest completed update of the whole pipeline (scope NULL) or of
+    one selected name."""
     selection = F.concat(F.coalesce("refresh_selection", F.array().cast("array<string>")),
                          F.coalesce("full_refresh_selection", F.array().cast("array<string>")))
     scopes = F.when(F.size(selection) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(selection))
     update = F.struct(F.col("creation_ms").alias("start_ms"), "update_id")
-    latest = (pipeline_updates.where(F.col("state") == "COMPLETED")
-              .select("pipeline_id", F.explode(scopes).alias("scope"), update.alias("update"))
-              .groupBy("pipeline_id", "scope").agg(F.max("update").alias("update")))
-    lookups = F.array_distinct(F.array(F.col("table_name"), short_name(F.col("table_name")), F.lit(None).cast("string")))
-    wanted = owned.select("table_name", "pipeline_id", F.explode(lookups).alias("scope"))
-    # coalescing to a character no name holds keeps the join an equi join on non-null keys
-    key = F.coalesce("scope", F.lit("\u0000")).alias("scope")
-    return (wanted.select("table_name", "pipeline_id", key)
-            .join(latest.select("pipeline_id", key, "update"), ["pipeline_id", "scope"])
-            .groupBy("table_name", "pipeline_id").agg(F.max("update").alias("update"))
-            .select("table_name", "pipeline_id", "update.start_ms", "update.update_id"))
+    return (pipeline_updates.where(F.col("state") == "COMPLETED")
+            .select("pipeline_id", F.explode(scopes).alias("scope"), update.alias("update"))
+            .groupBy("pipeline_id", "scope").agg(F.max("update").alias("update"))
+            .select("pipeline_id", "scope", "update.*"))
 
 
 def owned_by_pipeline(table_meta: DataFrame) -> DataFrame:
@@ -154,6 +136,68 @@ def owned_by_pipeline(table_meta: DataFrame) -> DataFrame:
             .select("table_name", "pipeline_id", "table_id"))
 
 
+def pipeline_facts(owned: DataFrame, datasets: DataFrame | None = None, updates: DataFrame | None = None,
+                   events: DataFrame | None = None) -> DataFrame:
+    """What is known about each owned table: its latest flow (`log`), covering update (`covering`) and event (`events_ms`).
+
+    A table is named differently by each signal: by full name or a dotted suffix in the event log, by full or short
+    name or not at all in an update, by id in the events table. All names are looked up together, as exact keys, so
+    this is one equi join and one aggregation however many signals there are. Each signal may be missing.
+    """
+    table = F.col("table_name")
+    key = lambda kind, name: F.concat_ws(" ", F.lit(kind), name)
+    look = lambda owner, kind, name: F.struct(owner.alias("owner"), key(kind, name).alias("lookup"))
+    lookups = F.concat(
+        F.transform(dotted_suffixes(table), lambda name: look(F.col("pipeline_id"), "log", name)),
+        F.transform(F.array_distinct(F.array(table, short_name(table), F.lit(None).cast("string"))),
+                    lambda name: look(F.col("pipeline_id"), "update", name)),
+        F.array(look(F.lit(""), "events", F.col("table_id"))))
+    wanted = owned.select("table_name", "pipeline_id", F.explode(lookups).alias("look")).select(
+        "table_name", "pipeline_id", "look.*")
+    none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (
+        ("ref", "string"), ("output_rows", "bigint"), ("upserted_rows", "bigint"), ("deleted_rows", "bigint"))}
+    counts = ("output_rows", "upserted_rows", "deleted_rows")
+    parts = []
+    if datasets is not None:
+        parts.append(datasets.select(
+            F.col("pipeline_id").alias("owner"), key("log", F.col("dataset")).alias("lookup"), F.lit("log").alias("kind"),
+            F.col("done_ms").alias("at_ms"), F.col("update_id").alias("ref"), *counts))
+    if updates is not None:
+        parts.append(updates.select(
+            F.col("pipeline_id").alias("owner"), key("update", F.col("scope")).alias("lookup"), F.lit("update").alias("kind"),
+            F.col("start_ms").alias("at_ms"), F.col("update_id").alias("ref"), *[none[c] for c in counts]))
+    if events is not None:
+        parts.append(events.select(
+            F.lit("").alias("owner"), key("events", F.col("uc_table_id")).alias("lookup"), F.lit("events").alias("kind"),
+            F.col("done_ms").alias("at_ms"), none["ref"], *[none[c] for c in counts]))
+    facts = parts[0]
+    for part in parts[1:]:
+        facts = facts.unionByName(part)
+
+    def newest(kind, *fields):
+        return F.max(F.when(F.col("kind") == kind, F.struct("at_ms", "ref", *fields)))
+
+    return wanted.join(facts, ["owner", "lookup"], "left").groupBy("table_name", "pipeline_id").agg(
+        newest("log", "lookup", *counts).alias("log"), newest("update").alias("covering"),
+        F.max(F.when(F.col("kind") == "events", F.col("at_ms"))).alias("events_ms"))
+
+
+def flow_completion(flow_definitions: DataFrame, flow_progress: DataFrame, owned: DataFrame) -> DataFrame:
+    """table_name -> done_ms, update_id and row counts of the latest completed flow that writes it."""
+    facts = pipeline_facts(owned, datasets=dataset_completion(flow_definitions, flow_progress))
+    return facts.where(F.col("log").isNotNull()).select(
+        "table_name", "pipeline_id", F.col("log.at_ms").alias("done_ms"), F.col("log.ref").alias("update_id"),
+        "log.output_rows", "log.upserted_rows", "log.deleted_rows")
+
+
+def update_covering(pipeline_updates: DataFrame, owned: DataFrame) -> DataFrame:
+    """table_name -> start of the latest completed update that covered it: a whole-pipeline update, or one that
+    selected the table by full or short name. Updates are reduced per scope first, so no table meets all of them."""
+    facts = pipeline_facts(owned, updates=update_scopes(pipeline_updates))
+    return facts.where(F.col("covering").isNotNull()).select(
+        "table_name", "pipeline_id", F.col("covering.at_ms").alias("start_ms"), F.col("covering.ref").alias("update_id"))
+
+
 def pipeline_success(table_meta: DataFrame, pipeline_events: DataFrame | None, flow_definitions: DataFrame,
                      flow_progress: DataFrame, pipeline_updates: DataFrame | None) -> DataFrame:
     """table_name -> when its pipeline last processed it, the signal that says so, and the event log's own time.
@@ -161,34 +205,19 @@ def pipeline_success(table_meta: DataFrame, pipeline_events: DataFrame | None, f
     The later of the events table and the event log, the events table on a tie; updates only if both are silent.
     A signal that is not available is passed as None.
     """
-    owned = owned_by_pipeline(table_meta)
-    keys = owned.select("table_name", "pipeline_id")
-    log = flow_completion(flow_definitions, flow_progress, keys).select(
-        "table_name", F.col("done_ms").alias("log_ms"), flow_signal(
-            F.col("update_id"), F.col("output_rows"), F.col("upserted_rows"), F.col("deleted_rows")).alias("log_signal"))
-    found = owned.join(log, "table_name", "left")
-    if pipeline_events is None:
-        found = found.withColumn("events_ms", F.lit(None).cast("bigint"))
-    else:
-        events = events_completion(pipeline_events).select(
-            F.col("uc_table_id").alias("table_id"), F.col("done_ms").alias("events_ms"))
-        found = found.join(events, "table_id", "left")
-    if pipeline_updates is None:
-        found = found.withColumn("update_ms", F.lit(None).cast("bigint")).withColumn(
-            "update_signal", F.lit(None).cast("string"))
-    else:
-        updates = update_covering(pipeline_updates, keys).select(
-            "table_name", F.col("start_ms").alias("update_ms"),
-            F.concat(F.lit("pipeline update "), "update_id", F.lit(" (start time)")).alias("update_signal"))
-        found = found.join(updates, "table_name", "left")
-    events_ms, log_ms = F.col("events_ms"), F.col("log_ms")
+    facts = pipeline_facts(
+        owned_by_pipeline(table_meta), dataset_completion(flow_definitions, flow_progress),
+        None if pipeline_updates is None else update_scopes(pipeline_updates),
+        None if pipeline_events is None else events_completion(pipeline_events))
+    events_ms, log_ms, log = F.col("events_ms"), F.col("log.at_ms"), F.col("log")
     by_events = events_ms.isNotNull() & (log_ms.isNull() | (events_ms >= log_ms))
-    return found.select(
-        "table_name", "pipeline_id",
-        F.coalesce(F.greatest(events_ms, log_ms), F.col("update_ms")).alias("success_ms"),
-        F.when(by_events, EVENTS_SIGNAL).when(log_ms.isNotNull(), F.col("log_signal"))
-        .when(F.col("update_ms").isNotNull(), F.col("update_signal")).otherwise(NO_PIPELINE_RUN).alias("signal"),
-        "log_ms")
+    return facts.select(
+        "table_name", "pipeline_id", F.coalesce(F.greatest(events_ms, log_ms), F.col("covering.at_ms")).alias("success_ms"),
+        F.when(by_events, EVENTS_SIGNAL)
+        .when(log_ms.isNotNull(), flow_signal(log["ref"], log["output_rows"], log["upserted_rows"], log["deleted_rows"]))
+        .when(F.col("covering").isNotNull(),
+              F.concat(F.lit("pipeline update "), F.col("covering.ref"), F.lit(" (start time)")))
+        .otherwise(NO_PIPELINE_RUN).alias("signal"), log_ms.alias("log_ms"))
 
 
 def running_producers(table_meta: DataFrame, pipelines: DataFrame, pipeline_updates: DataFrame) -> DataFrame:

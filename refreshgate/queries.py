@@ -10,7 +10,7 @@ from refreshgate.functions.names import entity_key, joined
 from refreshgate.operators import freshness, gates, lineage, monitor, runs, signals as sig, tracker as tracker_ops
 from refreshgate.plans import launch, ordering
 from refreshgate.session import shared_folder
-from refreshgate.sources.fixtures import NOW_MS, Fixtures
+from refreshgate.sources.fixtures import BASE_SCHEMAS, NOW_MS, Fixtures
 from refreshgate.streaming import refresh_state
 
 LAUNCH_SCRIPT = "launch_downstream.py"
@@ -128,24 +128,24 @@ def impacted_rows(run: Run) -> DataFrame:
 
 
 def flow_last_completed(run: Run) -> DataFrame:
-    done = sig.dataset_completion(run.fx.flow_definitions, run.fx.flow_progress)
+    done = sig.dataset_completion(run.fx.parsed_flow_definitions, run.fx.parsed_flow_progress)
     return done.select("pipeline_id", "dataset", "done_ms", "update_id")
 
 
 def update_row_counts(run: Run) -> DataFrame:
-    done = sig.dataset_completion(run.fx.flow_definitions, run.fx.flow_progress)
+    done = sig.dataset_completion(run.fx.parsed_flow_definitions, run.fx.parsed_flow_progress)
     return done.select("pipeline_id", "dataset", "update_id", "output_rows", "upserted_rows", "deleted_rows")
 
 
 def dataset_suffix_match(run: Run) -> DataFrame:
     owned = sig.owned_by_pipeline(run.fx.table_meta)
-    datasets = run.fx.flow_definitions.select("pipeline_id", "dataset").distinct()
+    datasets = run.fx.parsed_flow_definitions.select("pipeline_id", "dataset").distinct()
     return sig.dataset_matches(owned, datasets).select("table_name", "pipeline_id", "dataset")
 
 
 def events_last_completed(run: Run) -> DataFrame:
     meta = run.fx.table_meta.select("table_name", F.col("table_id").alias("uc_table_id"))
-    return sig.events_completion(run.fx.pipeline_events).join(meta, "uc_table_id").select("table_name", "done_ms")
+    return sig.events_completion(run.fx.parsed_pipeline_events).join(meta, "uc_table_id").select("table_name", "done_ms")
 
 
 def job_last_success(run: Run) -> DataFrame:
@@ -357,8 +357,7 @@ def stream_refresh_state(run: Run) -> DataFrame:
     """The commits as a stream, to the end, then the state it leaves behind."""
     spark = run.spark
     where = f"{shared_folder(spark)}/refresh-state-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{run.folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(run.folder)
+    events = spark.readStream.schema(BASE_SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(run.folder)
     kinds = ["WRITE", "MERGE", "OPTIMIZE", "STREAMING UPDATE", "RESTORE", "VACUUM END", "DLT REFRESH"]
     number = F.col("event_id")
     history = events.select(

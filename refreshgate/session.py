@@ -13,6 +13,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false"))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

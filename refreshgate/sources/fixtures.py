@@ -2,6 +2,7 @@
 
 `Fixtures` gives the Spark relations; `with_clause` gives the DuckDB text of the same views for an oracle query.
 """
+import zlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,15 @@ from refreshgate.sources import platform
 
 NOW_MS = 1706659200000   # 2024-01-31 00:00 UTC
 FIRST_MS = 1704067200000  # 2024-01-01 00:00 UTC; event times spread over 30 days from here
-BASE_TABLES = ("customer", "supplier", "orders", "lineitem", "events")
+# columns used of the test tables; given, so that no file is opened to infer them
+BASE_SCHEMAS = {
+    "customer": "c_custkey bigint",
+    "supplier": "s_suppkey bigint",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+}
+BASE_TABLES = tuple(BASE_SCHEMAS)
 
 SPARK_TOKENS = {"micros": "unix_micros", "div": "div", "array": "array", "map": "map_from_arrays"}
 DUCKDB_TOKENS = {"micros": "epoch_us", "div": "//", "array": "list_value", "map": "map"}
@@ -146,9 +155,16 @@ class Fixtures:
         self.spark, self.folder = spark, folder
         self.now_ms, self.since_ms = NOW_MS, platform.producer_since_ms(NOW_MS)
 
+    def base(self, table: str) -> DataFrame:
+        return self.spark.read.schema(BASE_SCHEMAS[table]).parquet(f"{self.folder}/{table}.parquet")
+
     def view(self, name: str) -> DataFrame:
-        files = {table: f"parquet.`{self.folder}/{table}.parquet`" for table in BASE_TABLES}
-        return self.spark.sql(_render(name, SPARK_TOKENS | files))
+        """A derived view; the base tables are temporary views named after their folder."""
+        used = [table for table in BASE_TABLES if "{" + table + "}" in TEMPLATES[name]]
+        place = zlib.crc32(self.folder.encode())
+        for table in used:
+            self.base(table).createOrReplaceTempView(f"{table}_{place}")
+        return self.spark.sql(_render(name, SPARK_TOKENS | {table: f"{table}_{place}" for table in used}))
 
     @cached_property
     def table_meta(self) -> DataFrame:
@@ -167,9 +183,14 @@ class Fixtures:
             F.struct("uc_table_id").alias("origin"), F.parse_json(F.to_json(status)).alias("details"))
 
     @cached_property
-    def pipeline_events(self) -> DataFrame:
+    def parsed_pipeline_events(self) -> DataFrame:
         return platform.pipeline_events(self.raw_pipeline_events, self.since_ms)
 
+    @cached_property
+    def pipeline_events(self) -> DataFrame:
+        """The same relation without the detour over VARIANT."""
+        return self.view("pipeline_events").where(F.col("ts_ms") >= self.since_ms)
+
     @cached_property
     def event_log(self) -> DataFrame:
         """Definitions and progress as one event log with VARIANT details."""
@@ -188,13 +209,21 @@ class Fixtures:
         return flows.unionByName(progress).withColumn("details", F.parse_json("details"))
 
     @cached_property
-    def flow_definitions(self) -> DataFrame:
+    def parsed_flow_definitions(self) -> DataFrame:
         return platform.flow_definitions(self.event_log)
 
     @cached_property
-    def flow_progress(self) -> DataFrame:
+    def parsed_flow_progress(self) -> DataFrame:
         return platform.flow_progress(self.event_log, self.since_ms)
 
+    @cached_property
+    def flow_definitions(self) -> DataFrame:
+        return self.view("flow_definitions")
+
+    @cached_property
+    def flow_progress(self) -> DataFrame:
+        return self.view("flow_progress").where(F.col("ts_ms") >= self.since_ms)
+
     @cached_property
     def job_runs(self) -> DataFrame:
         return self.view("job_runs")
