@@ -11,7 +11,7 @@ TRACKER_COLUMNS = {
     "target_tables": ("array<string>", "Final tables written by the entity"),
     "src_tables": ("array<string>", "Base tables feeding the targets, views expanded"),
     "src_tables_to_skip": ("array<string>", "Sources left out of the freshness check"),
-    "src_table_producers": (PRODUCERS_TYPE, "Per source: PIPELINE, JOB or NONE and the producer's id"),
+    "src_table_producers": (PRODUCERS_TYPE, "Per source: PIPELINE, JOB or NONE and the producer id"),
     "refresh_window_btn_tables_in_mins": ("int", "Minutes a refresh stays fresh; NULL means the row cannot be checked"),
     "created_on": ("date", "Date the row was inserted"),
     "updated_on": ("date", "Date the row was last updated"),

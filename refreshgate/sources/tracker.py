@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from refreshgate.schemas import TRACKER_COLUMNS
 
 
-def create_tracker(spark: SparkSession, table: str) -> DataFrame:
+def create_tracker(spark: SparkSession, table: str, using: str = "parquet") -> DataFrame:
     """Create the tracker if it does not exist, with commented columns, and list its columns."""
     columns = ", ".join(f"{name} {kind} COMMENT '{comment}'" for name, (kind, comment) in TRACKER_COLUMNS.items())
-    spark.sql(f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:tracker) ({columns}) USING parquet "
+    spark.sql(f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:tracker) ({columns}) USING {using} "
               "COMMENT 'One row per job or pipeline and source group'", args={"tracker": table})
     return spark.sql("DESCRIBE TABLE IDENTIFIER(:tracker)", args={"tracker": table})
 
