@@ -73,12 +73,8 @@ def row_status(groups: DataFrame, resolved: DataFrame, states: DataFrame) -> Dat
     return rows.withColumn("status", status).withColumn("detail", detail).withColumn("reason", reason)
 
 
-def _row_upstreams(planned: DataFrame, sources: DataFrame, targets: DataFrame, handoffs: DataFrame,
-                   levels: DataFrame) -> DataFrame:
+def _row_upstreams(planned: DataFrame, sources: DataFrame, kept: DataFrame, handoffs: DataFrame) -> DataFrame:
     """(row, upstream, table) along kept dependencies, with whether the upstream's launch task covers the table."""
-    edges = ordering.entity_edges(
-        sources.select(F.col("entity_key").alias("entity"), "table_name"), targets)
-    kept = ordering.kept_edges(edges, levels)
     found = (sources.join(kept.withColumnRenamed("entity", "entity_key"), ["entity_key", "table_name"])
              .select(*ROW, "entity_type", "table_name", "upstream", "upstream_level"))
     ids = planned.select(F.col("entity_key").alias("upstream"), F.col("entity_type").alias("upstream_type"),
@@ -154,10 +150,13 @@ def plan_rows(planned: DataFrame, sources: DataFrame, targets: DataFrame, platfo
     """
     planned, sources = cut_lineage(planned), cut_lineage(sources)
     entities = planned.select(F.col("entity_key").alias("entity")).distinct()
-    edges = ordering.entity_edges(sources.select(F.col("entity_key").alias("entity"), "table_name"), targets)
-    levels = cut_lineage(ordering.upstream_levels(entities, edges))
+    edges = cut_lineage(ordering.entity_edges(
+        sources.select(F.col("entity_key").alias("entity"), "table_name"), targets))
+    levels, dropped = ordering.arrange(entities, edges)
+    levels = cut_lineage(levels)
+    kept = ordering.kept_edges(edges, levels, dropped)
     handoffs = handoff_tables(platform.job_tasks, launch_script)
-    upstreams = cut_lineage(_row_upstreams(planned, sources, targets, handoffs, levels))
+    upstreams = cut_lineage(_row_upstreams(planned, sources, kept, handoffs))
     running = sig.running_producers(table_meta, platform.pipelines, platform.pipeline_updates)
     producers = cut_lineage(_row_producers(sources, running, handoffs, jobs_running_pipelines(platform.active_tasks)))
     launching = launching_entities(planned, upstreams, producers)

@@ -21,67 +21,85 @@ def shared_tables(edges: DataFrame) -> DataFrame:
     return edges.groupBy("entity", "upstream").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
 
 
-def _component_minimum(edges: DataFrame) -> DataFrame:
-    """node -> the smallest node of its connected component.
+def _release_points(edges: DataFrame) -> DataFrame:
+    """entity -> `point`, for entities that wait for a cycle.
 
-    Labels take the smallest neighbouring label and then the label of their label, so the number of rounds grows with
-    the logarithm of the component's width rather than with the width.
+    Entities are let go in (type, name) order whenever all that are left wait for each other, so by the time it is
+    v's turn everything before v is placed. What is left then are the entities from which an endless walk upstream
+    stays at v or after it. Hence an entity is placed at the turn of its point: the largest, over its endless walks,
+    of the smallest entity on the walk. `point(e) = max over upstreams u of min(e, point(u))`, starting from e itself,
+    settles in as many rounds as the graph is deep, however many entities have to be let go.
     """
-    pairs = edges.select(F.col("entity").alias("node"), F.col("upstream").alias("other"))
-    pairs = cut_lineage(pairs.union(pairs.select("other", "node")).distinct())
-    labels = cut_lineage(pairs.groupBy("node").agg(F.min("other").alias("label"))
-                         .select("node", F.least("node", "label").alias("label")))
+    points = cut_lineage(edges.select("entity").distinct().withColumn("point", F.col("entity")))
+    n_points = points.count()
     while True:
-        heard = (pairs.join(labels.select(F.col("node").alias("other"), "label"), "other")
-                 .groupBy("node").agg(F.min("label").alias("heard")))
-        lower = labels.join(heard, "node").select("node", F.col("label").alias("was"),
-                                                  F.least("label", "heard").alias("label"))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = cut_lineage(lower.join(jump, "label").select(
-            "node", "was", F.least("label", "further").alias("label")))
-        if labels.where(F.col("was") != F.col("label")).isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        upstream = points.select(F.col("entity").alias("upstream"), F.col("point").alias("upstream_point"))
+        lower = (edges.join(upstream, "upstream").groupBy("entity")
+                 .agg(F.max(F.least("entity", "upstream_point")).alias("point")))
+        was = points.withColumnRenamed("point", "was")
+        lower = cut_lineage(lower.join(was, "entity", "left"))
+        settled = lower.agg(F.count("*").alias("n"), F.count_if(~F.col("point").eqNullSafe(F.col("was"))).alias("moved")).first()
+        points = lower.select("entity", "point")
+        if settled.n == n_points and settled.moved == 0:
+            return points
+        n_points = settled.n
 
 
-def upstream_levels(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """entity -> level, such that an entity comes after everything it waits for.
+def _dropped_edges(edges: DataFrame) -> DataFrame:
+    """Edges of a released entity (its own point) to upstreams placed no earlier than itself."""
+    points = _release_points(edges)
+    upper = points.select(F.col("entity").alias("upstream"), F.col("point").alias("upstream_point"))
+    released = points.where(F.col("point") == F.col("entity")).select("entity")
+    return (edges.join(released, "entity", "left_semi").join(upper, "upstream")
+            .where(F.col("upstream_point") >= F.col("entity")).select("entity", "upstream"))
+
+
+def arrange(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels, dropped): entity -> level, such that an entity comes after everything it waits for, and the
+    (entity, upstream) dependencies given up because they close a cycle.
 
-    Entities without open dependencies are placed level by level. When none is left without (a cycle), the first
-    entity in (type, name) order of each still connected part is placed next and the dependencies it still has are
-    dropped; separate parts do not affect each other, so they are released together. A dependency is kept exactly when
-    its upstream has the lower level. Rounds grow with the depth of the graph, never with the number of entities.
+    Entities without open dependencies are placed level by level. When none is left without, the first of the rest in
+    (type, name) order would be placed next and give up the dependencies it still has, again and again;
+    `_release_points` finds all of those at once, and what remains has no cycle. Rounds grow with the depth of the
+    graph, not with the number of entities or cycles.
     """
     nodes = entities.select("entity").distinct()
-    open_edges = (edges.select("entity", "upstream").distinct().join(nodes, "entity", "left_semi")
-                  .join(nodes.withColumnRenamed("entity", "upstream"), "upstream", "left_semi"))
-    open_edges = cut_lineage(open_edges)
-    n_left = nodes.count()
-    waits = None  # (entity, level) for every level an entity had to wait through
-    level = 0
-    while True:
+    open_edges = cut_lineage(
+        edges.select("entity", "upstream").distinct().join(nodes, "entity", "left_semi")
+        .join(nodes.withColumnRenamed("entity", "upstream"), "upstream", "left_semi").select("entity", "upstream"))
+    dropped = open_edges.limit(0)
+    waits, level, n_open = [], 0, open_edges.count()
+    while n_open:
         blocked = open_edges.select("entity").distinct()
-        n_blocked = blocked.count()
-        if n_blocked == 0:
-            break
-        if n_blocked == n_left:
-            first = _component_minimum(open_edges).select(F.col("label").alias("entity")).distinct()
-            open_edges = cut_lineage(open_edges.join(first, "entity", "left_anti"))
-            blocked = open_edges.select("entity").distinct()
-            n_blocked = blocked.count()
-        waited = blocked.withColumn("level", F.lit(level))
-        waits = waited if waits is None else waits.unionByName(waited)
-        n_left, level = n_blocked, level + 1
-        still = blocked.withColumnRenamed("entity", "upstream")
-        open_edges = cut_lineage(open_edges.join(still, "upstream", "left_semi").select("entity", "upstream"))
-    if waits is None:
-        return nodes.withColumn("level", F.lit(0))
-    depth = waits.groupBy("entity").agg((F.max("level") + 1).alias("level"))
-    return nodes.join(depth, "entity", "left").select("entity", F.coalesce("level", F.lit(0)).alias("level"))
-
-
-def kept_edges(edges: DataFrame, levels: DataFrame) -> DataFrame:
-    """Edges whose upstream has the lower level, with that level."""
+        waits.append(blocked.withColumn("level", F.lit(level)))
+        left = cut_lineage(open_edges.join(blocked.withColumnRenamed("entity", "upstream"), "upstream", "left_semi")
+                           .select("entity", "upstream"))
+        n_left = left.count()
+        if n_left == n_open:  # every entity left waits for another one
+            waits.pop()
+            dropped = cut_lineage(_dropped_edges(left))
+            left = cut_lineage(left.join(dropped, ["entity", "upstream"], "left_anti"))
+            n_left = left.count()
+        else:
+            level += 1
+        open_edges, n_open = left, n_left
+    if not waits:
+        return nodes.withColumn("level", F.lit(0)), dropped
+    all_waits = waits[0]
+    for wait in waits[1:]:
+        all_waits = all_waits.unionByName(wait)
+    depth = all_waits.groupBy("entity").agg((F.max("level") + 1).alias("level"))
+    return nodes.join(depth, "entity", "left").select("entity", F.coalesce("level", F.lit(0)).alias("level")), dropped
+
+
+def upstream_levels(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """entity -> level, upstream first."""
+    return arrange(entities, edges)[0]
+
+
+def kept_edges(edges: DataFrame, levels: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Edges between arranged entities that were not given up, with the upstream's level."""
     upper = levels.select(F.col("entity").alias("upstream"), F.col("level").alias("upstream_level"))
-    return (edges.join(levels, "entity").join(upper, "upstream")
-            .where(F.col("upstream_level") < F.col("level")).select("entity", "upstream", "table_name", "upstream_level"))
+    return (edges.join(levels.select("entity"), "entity", "left_semi").join(upper, "upstream")
+            .join(dropped, ["entity", "upstream"], "left_anti")
+            .select("entity", "upstream", "table_name", "upstream_level"))
