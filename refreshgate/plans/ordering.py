@@ -3,6 +3,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from refreshgate.session import cut_lineage
 
+STEPS_PER_CUT = 4
+
 
 def entity_edges(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """(entity, upstream, table_name): `entity` reads a table that `upstream`, another entity, writes.
@@ -33,13 +35,15 @@ def _release_points(edges: DataFrame) -> DataFrame:
     points = cut_lineage(edges.select("entity").distinct().withColumn("point", F.col("entity")))
     n_points = points.count()
     while True:
-        upstream = points.select(F.col("entity").alias("upstream"), F.col("point").alias("upstream_point"))
-        lower = (edges.join(upstream, "upstream").groupBy("entity")
-                 .agg(F.max(F.least("entity", "upstream_point")).alias("point")))
-        was = points.withColumnRenamed("point", "was")
-        lower = cut_lineage(lower.join(was, "entity", "left"))
-        settled = lower.agg(F.count("*").alias("n"), F.count_if(~F.col("point").eqNullSafe(F.col("was"))).alias("moved")).first()
+        lower = points
+        for _ in range(STEPS_PER_CUT):
+            upstream = lower.select(F.col("entity").alias("upstream"), F.col("point").alias("upstream_point"))
+            lower = (edges.join(upstream, "upstream").groupBy("entity")
+                     .agg(F.max(F.least("entity", "upstream_point")).alias("point")))
+        lower = cut_lineage(lower.join(points.withColumnRenamed("point", "was"), "entity", "left"))
+        settled = lower.agg(F.count("*").alias("n"), F.count_if(F.col("point") != F.col("was")).alias("moved")).first()
         points = lower.select("entity", "point")
+        # points only ever sink, so none moved over several steps means none will
         if settled.n == n_points and settled.moved == 0:
             return points
         n_points = settled.n
