@@ -1,7 +1,7 @@
 """Reading, editing and checking tracker rows: every function takes whole tables and returns a whole table."""
 from pyspark.sql import Column, DataFrame, functions as F
 
-from refreshgate.functions.names import DEFAULT_GROUP, group_name
+from refreshgate.functions.names import DEFAULT_GROUP, group_name, without
 from refreshgate.operators.freshness import ROW_KEY, tracker_rows
 from refreshgate.operators.runs import ENTITY_TYPES
 from refreshgate.schemas import PRODUCERS_TYPE, TRACKER_COLUMNS
@@ -150,20 +150,27 @@ def register(tracker: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def validate(tracker: DataFrame) -> DataFrame:
-    """What is wrong with tracker rows: (entity_name, entity_type, src_group, issue, detail)."""
-    rows = tracker_rows(tracker)
-    key = [F.col(c) for c in KEY]
-
-    def issues(df, issue, detail):
-        return df.select(*key, F.lit(issue).alias("issue"), detail.cast("string").alias("detail"))
-
-    repeated = rows.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sources = F.coalesce("src_tables", F.array().cast("array<string>"))
-    stray = tracker.select("entity_name", "entity_type", group_name(F.col("src_group")).alias("src_group"), F.explode(
-        F.filter(F.array_distinct("src_tables_to_skip"), lambda t: ~F.array_contains(sources, t))).alias("table_name"))
-    return (issues(repeated, "duplicate key", F.col("n"))
-            .unionByName(issues(stray, "skipped table not in src_tables", F.col("table_name")))
-            .unionByName(issues(rows.where(F.col("window_mins").isNull()), "window is NULL", F.lit("")))
-            .unionByName(issues(rows.where(F.size("tables") == 0), "no source tables to check", F.lit("")))
-            .unionByName(issues(rows.where(~F.coalesce(F.upper("entity_type").isin(*ENTITY_TYPES), F.lit(False))),
-                                "unknown entity_type", F.col("entity_type"))))
+    """What is wrong with tracker rows: (entity_name, entity_type, src_group, issue, detail).
+
+    Issues of a row are found in the row itself; only repeated keys need a shuffle.
+    """
+    none = F.array().cast("array<string>")
+    skips = F.array_distinct(F.coalesce("src_tables_to_skip", none))
+    sources = F.coalesce("src_tables", none)
+
+    def issue(name, detail):
+        return F.struct(F.lit(name).alias("issue"), detail.cast("string").alias("detail"))
+
+    known = F.coalesce(F.upper("entity_type").isin(*ENTITY_TYPES), F.lit(False))
+    single = F.array(
+        F.when(F.col("refresh_window_btn_tables_in_mins").isNull(), issue("window is NULL", F.lit(""))),
+        F.when(F.size(without(sources, skips)) == 0, issue("no source tables to check", F.lit(""))),
+        F.when(~known, issue("unknown entity_type", F.col("entity_type"))))
+    stray = F.transform(F.filter(skips, lambda t: ~F.array_contains(sources, t)),
+                        lambda t: issue("skipped table not in src_tables", t))
+    found = F.filter(F.concat(single, stray), lambda i: i.isNotNull())
+    keys = [F.col("entity_name"), F.col("entity_type"), group_name(F.col("src_group")).alias("src_group")]
+    in_row = tracker.select(*keys, F.explode(found).alias("found")).select(*KEY, "found.*")
+    repeated = tracker.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(
+        *KEY, F.lit("duplicate key").alias("issue"), F.col("n").cast("string").alias("detail"))
+    return in_row.unionByName(repeated)

@@ -492,7 +492,7 @@ RESULTS = {
         from streaks where result <> 'SUCCESS' group by entity_name, streak having count(*) >= 4""",
     "no_success_for": f"""
         select entity_name, max(ts_ms) filter (result = 'SUCCESS') as last_success_ms, count(*) as n_ticks from check_ticks
-        group by 1 having last_success_ms is null or last_success_ms < {NOW_MS} - 12 * 3600000""",
+        group by 1 having last_success_ms is null or last_success_ms < {NOW_MS} - 1 * 3600000""",
     "refresh_gaps": """
         select s.entity_name, s.entity_type, s.src_group, s.table_name, s.window_mins, g.n_gaps, g.median_gap_ms, g.max_gap_ms,
           s.window_mins * 60000 < g.median_gap_ms as window_below_median, s.window_mins * 60000 < g.max_gap_ms as window_below_max

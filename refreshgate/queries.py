@@ -15,7 +15,7 @@ from refreshgate.streaming import refresh_state
 
 LAUNCH_SCRIPT = "launch_downstream.py"
 TODAY, USER = "2024-01-31", "tester"
-FAILURE_STREAK, SILENT_HOURS = 4, 12
+FAILURE_STREAK, SILENT_HOURS = 4, 1
 
 
 class Run:
