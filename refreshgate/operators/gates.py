@@ -70,10 +70,12 @@ def entity_gate(groups: DataFrame, requested: DataFrame | None = None) -> DataFr
 
 def gate_lines(groups: DataFrame) -> DataFrame:
     """The lines under each entity's headline: one per failing group, one per source met without row changes."""
-    keys = ["entity_type", "entity_name", "src_group"]
-    failed = groups.withColumn("line", failure_line()).where(F.col("line").isNotNull()).select(
-        *keys, F.lit("failure").alias("kind"), "line")
-    met = groups.select(*keys, F.explode("no_change").alias("table_name")).select(
-        *keys, F.lit("met by producer run without row changes").alias("kind"),
-        F.concat("table_name", F.lit(" ["), "src_group", F.lit("]")).alias("line"))
-    return failed.unionByName(met)
+    def entry(kind, line):
+        return F.struct(F.lit(kind).alias("kind"), line.alias("line"))
+
+    failed = F.array(F.when(F.col("verdict") != "FRESH", entry("failure", failure_line())))
+    met = F.transform("no_change", lambda t: entry("met by producer run without row changes",
+                                                   F.concat(t, F.lit(" ["), F.col("src_group"), F.lit("]"))))
+    lines = F.filter(F.concat(failed, met), lambda e: e.isNotNull())
+    return groups.select("entity_type", "entity_name", "src_group", F.explode(lines).alias("entry")).select(
+        "entity_type", "entity_name", "src_group", "entry.*")

@@ -1,5 +1,7 @@
 """From lineage to tracker rows, for all entities in one plan: what an entity owns, reads and finally writes, and what
 produces its sources."""
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from refreshgate.functions.names import short_name
@@ -167,23 +169,50 @@ def source_producers(tables: DataFrame, table_lineage: DataFrame, table_meta: Da
                         F.coalesce("pipeline_id", "job_id").alias("producer_id"))
 
 
-def discover(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
-             table_meta: DataFrame, view_deps: DataFrame, max_depth: int = 5) -> dict[str, DataFrame]:
-    """The steps from entities to their sources, by name, for `tracker_rows` and for reports.
+class Discovery:
+    """The steps from entities to their sources, each worked out when it is first asked for.
 
-    Raw lineage is read for the targets and for the edges only; both are written out once they are reduced, since the
-    later steps use them many times.
+    Raw lineage is read for the targets and for the edges only; both, and the sources, are written out once they are
+    reduced, since later steps use them many times.
     """
-    found = resolved.join(entities.select(*ENTITY).distinct(), ENTITY, "left_semi")
-    pipelines = cut_lineage(entity_pipelines(found, job_tasks))
-    targets = cut_lineage(lineage_targets(pipelines, table_lineage, table_meta))
-    owned = owned_tables(targets)
-    edges = cut_lineage(latest_write_edges(pipelines, owned, table_lineage))
-    inputs = external_inputs(owned, edges)
-    expanded = expanded_inputs(inputs, table_meta, view_deps, max_depth)
-    return {"resolved": found, "pipelines": pipelines, "targets": targets, "owned": owned, "edges": edges,
-            "final": final_targets(owned, edges), "inputs": inputs, "expanded": expanded,
-            "sources": entity_sources(expanded, owned)}
+
+    def __init__(self, entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
+                 table_meta: DataFrame, view_deps: DataFrame, max_depth: int = 5):
+        self.resolved = resolved.join(entities.select(*ENTITY).distinct(), ENTITY, "left_semi")
+        self.job_tasks, self.table_lineage, self.table_meta = job_tasks, table_lineage, table_meta
+        self.view_deps, self.max_depth = view_deps, max_depth
+
+    @cached_property
+    def pipelines(self) -> DataFrame:
+        return cut_lineage(entity_pipelines(self.resolved, self.job_tasks))
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return cut_lineage(lineage_targets(self.pipelines, self.table_lineage, self.table_meta))
+
+    @cached_property
+    def owned(self) -> DataFrame:
+        return owned_tables(self.targets)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut_lineage(latest_write_edges(self.pipelines, self.owned, self.table_lineage))
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return final_targets(self.owned, self.edges)
+
+    @cached_property
+    def inputs(self) -> DataFrame:
+        return external_inputs(self.owned, self.edges)
+
+    @cached_property
+    def expanded(self) -> DataFrame:
+        return expanded_inputs(self.inputs, self.table_meta, self.view_deps, self.max_depth)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return cut_lineage(entity_sources(self.expanded, self.owned))
 
 
 def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
@@ -194,10 +223,10 @@ def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame,
     `subset` (entity_type, entity_name, src_group, table_name) narrows a group to some of the discovered sources; a
     name that was not discovered is an error. The arrays are as long as the tracker row itself has to be.
     """
-    steps = discover(entities, resolved, job_tasks, table_lineage, table_meta, view_deps, max_depth)
+    steps = Discovery(entities, resolved, job_tasks, table_lineage, table_meta, view_deps, max_depth)
     group = ENTITY + ["src_group"]
     requested = entities.select(*group).distinct()
-    sources = steps["sources"].join(requested, ENTITY)
+    sources = steps.sources.join(requested, ENTITY)
     unknown = None
     if subset is not None:
         wanted = subset.select(*group, "table_name").distinct()
@@ -212,10 +241,10 @@ def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame,
     per_group = sources.join(producers, "table_name").groupBy(*group).agg(
         F.array_sort(F.collect_set("table_name")).alias("src_tables"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("src_table_producers"))
-    finals = steps["final"].groupBy(*ENTITY).agg(F.array_sort(F.collect_set("table_name")).alias("target_tables"))
-    has_pipelines = steps["pipelines"].select(*ENTITY).distinct().withColumn("has_pipelines", F.lit(True))
-    has_owned = steps["owned"].select(*ENTITY).distinct().withColumn("has_owned", F.lit(True))
-    names = steps["resolved"].select(*ENTITY, "entity_id", F.col("error").alias("name_error"))
+    finals = steps.final.groupBy(*ENTITY).agg(F.array_sort(F.collect_set("table_name")).alias("target_tables"))
+    has_pipelines = steps.pipelines.select(*ENTITY).distinct().withColumn("has_pipelines", F.lit(True))
+    has_owned = steps.owned.select(*ENTITY).distinct().withColumn("has_owned", F.lit(True))
+    names = steps.resolved.select(*ENTITY, "entity_id", F.col("error").alias("name_error"))
     rows = (requested.join(names, ENTITY, "left").join(has_pipelines, ENTITY, "left").join(has_owned, ENTITY, "left")
             .join(finals, ENTITY, "left").join(per_group, group, "left"))
     if unknown is None:

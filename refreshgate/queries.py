@@ -57,10 +57,10 @@ class Run:
         return named.select("entity_type", "entity_name", F.lit("default").alias("src_group")).distinct()
 
     @cached_property
-    def lineage(self) -> dict[str, DataFrame]:
+    def lineage(self) -> lineage.Discovery:
         fx = self.fx
         resolved = runs.resolve_names(self.entities, fx.jobs, fx.pipelines)
-        return lineage.discover(self.entities, resolved, fx.job_tasks, fx.table_lineage, fx.table_meta, fx.view_deps)
+        return lineage.Discovery(self.entities, resolved, fx.job_tasks, fx.table_lineage, fx.table_meta, fx.view_deps)
 
     @cached_property
     def incoming(self) -> DataFrame:
@@ -231,23 +231,23 @@ def name_matches(run: Run) -> DataFrame:
 
 
 def owned_tables(run: Run) -> DataFrame:
-    return run.lineage["targets"]
+    return run.lineage.targets
 
 
 def target_counts(run: Run) -> DataFrame:
-    return lineage.target_counts(run.lineage["targets"])
+    return lineage.target_counts(run.lineage.targets)
 
 
 def latest_write_edges(run: Run) -> DataFrame:
-    return run.lineage["edges"].select("entity_type", "entity_name", "target", "source")
+    return run.lineage.edges.select("entity_type", "entity_name", "target", "source")
 
 
 def final_targets(run: Run) -> DataFrame:
-    return run.lineage["final"]
+    return run.lineage.final
 
 
 def external_inputs(run: Run) -> DataFrame:
-    return run.lineage["inputs"]
+    return run.lineage.inputs
 
 
 def view_expansion(run: Run) -> DataFrame:

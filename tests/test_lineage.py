@@ -39,13 +39,13 @@ def test_tracker_rows_from_lineage(spark):
         ("PIPELINE", "p2", "u3", "m.s.gold", "m.s.out", 5), ("PIPELINE", "p3", "u4", "m.s.x", "m.s.y", 5),
         ("PIPELINE", "p3", "u4", "m.s.y", "m.s.x", 5), ("JOB", "7", "r1", None, "m.s.feed", 3), ("JOB", "8", "r2", None, "m.s.feed", 4))
     resolved = runs.resolve_names(entities, jobs, pipes)
-    steps = lineage.discover(entities, resolved, tasks, lines, tables, deps)
-    assert records(steps["targets"].where("entity_name = 'J'"), "table_name", "status", "reason") == [
+    steps = lineage.Discovery(entities, resolved, tasks, lines, tables, deps)
+    assert records(steps.targets.where("entity_name = 'J'"), "table_name", "status", "reason") == [
         ("m.s.closed", "IGNORED", "PermissionDenied"), ("m.s.gold", "OWNED", None), ("m.s.lost", "IGNORED", "NotFound"),
         ("m.s.silver", "OWNED", None), ("m.s.sink", "IGNORED", "pipeline_id=None")]
-    assert records(steps["edges"].where("entity_name = 'J'"), "target", "source") == [
+    assert records(steps.edges.where("entity_name = 'J'"), "target", "source") == [
         ("m.s.gold", "m.s.silver"), ("m.s.gold", "m.s.v"), ("m.s.silver", "m.s.feed")]
-    assert records(steps["expanded"].where("entity_name = 'J'"), "name", "kind") == [
+    assert records(steps.expanded.where("entity_name = 'J'"), "name", "kind") == [
         ("m.s.base", "TABLE"), ("m.s.feed", "TABLE"), ("m.s.gone", "MISSING"), ("m.s.silver", "TABLE")]
     assert records(lineage.skipped_tasks(resolved, tasks), "entity_name", "task_key") == [("J", "c"), ("none", "d")]
     rows = lineage.tracker_rows(entities, resolved, tasks, lines, tables, deps)
