@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refreshgate.llm import language_id
+from refreshgate.llm import language_id, quality_rules, simhash
 from refreshgate.llm.batches import id_remainder
 
 
@@ -20,6 +20,16 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(remainder == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "known")
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.classes(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id,)}
+    f.__name__: f for f in (op2_language_id, op4_simhash, op5_quality_rules)}
 SQL: dict[str, str] = {}
