@@ -1,9 +1,10 @@
 """The operators over the test tables, one named query each, and their SQL where SQL can express them."""
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refreshgate.llm import language_id, quality_rules, simhash
+from refreshgate.llm import language_id, packing, quality_rules, simhash
 from refreshgate.llm.batches import id_remainder
 
 
@@ -11,6 +12,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Rows without an id can be in no fold: they are never learned from and count as held out."""
     docs = _table(spark, folder, "documents")
@@ -31,5 +36,5 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_simhash, op5_quality_rules)}
+    f.__name__: f for f in (op1_packing, op2_language_id, op4_simhash, op5_quality_rules)}
 SQL: dict[str, str] = {}
