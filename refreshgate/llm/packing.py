@@ -134,9 +134,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 row = own[np.searchsorted(own[:, 1], rank[at], side="right")]
                 nth = rank[at] - row[:, 0]
                 sequence[at], offset[at] = row[:, 2] + nth // row[:, 3], row[:, 4] + nth % row[:, 3] * one
-            out = [batch.column(c) for c in NAMES[:5]] + [pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(out + [batch.column("ids")] * keep_ids,
-                                             NAMES[:5] + ["sequence_id", "offset"] + ["ids"] * keep_ids)
+            more = ["ids"] * keep_ids
+            columns = [*map(batch.column, NAMES[:5]), pa.array(sequence), pa.array(offset), *map(batch.column, more)]
+            yield pa.RecordBatch.from_arrays(columns, [*NAMES[:5], "sequence_id", "offset", *more])
 
     schema = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
               + ", ids array<long>" * keep_ids)
