@@ -4,7 +4,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refreshgate.llm import language_id, packing, quality_rules, simhash
+from refreshgate.llm import language_id, license_scan, packing, quality_rules, simhash
 from refreshgate.llm.batches import id_remainder
 
 
@@ -35,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, folder, "labels")))
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language_id, op4_simhash, op5_quality_rules)}
-SQL: dict[str, str] = {}
+    f.__name__: f for f in (op1_packing, op2_language_id, op4_simhash, op5_quality_rules, op6_license_scan)}
+SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle()}
