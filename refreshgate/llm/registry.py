@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refreshgate.llm import language_id, license_scan, packing, quality_model, quality_rules, simhash, top_k, warc
+from refreshgate.llm import language_id, license_scan, packing, piece_dropout, quality_model, quality_rules, simhash, token_counts, top_k, warc
 from refreshgate.llm.batches import id_remainder
 from refreshgate.session import cut_lineage, shared_folder
 
@@ -64,8 +64,23 @@ def op8_quality_model(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    return token_counts.document_counts(_table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = piece_dropout.encoded(_table(spark, folder, "documents"), model, seed=17)
+    text = F.coalesce("text", F.lit(""))
+    return piece_dropout.decoded(docs, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.octet_length("decoded").cast("long").alias("n_bytes"), (F.col("decoded") == text).alias("lossless"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language_id, op3_top_k, op4_simhash, op5_quality_rules, op6_license_scan, op7_warc, op8_quality_model)}
+    f.__name__: f for f in (op1_packing, op2_language_id, op3_top_k, op4_simhash, op5_quality_rules, op6_license_scan, op7_warc, op8_quality_model, op9_token_counts,
+                              op10_sentencepiece)}
 SQL: dict[str, str] = {
     "op3_top_k": """
 WITH whole AS (

@@ -16,10 +16,11 @@ LONGEST_REMEMBERED = 48
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = specials_as_text
         self.known: dict[str, bytes] = {}  # of chunks that follow a space, which their ids include
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -42,11 +43,12 @@ class Encoder:
         return found
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials_as_text: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file, read once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, specials_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
