@@ -49,7 +49,7 @@ def option_value(parameters: Column, option: str) -> Column:
     last = F.element_at(hits, -1)
     return F.when(F.size(hits) > 0,
                   F.when(last["word"] == option, last["following"])
-                  .otherwise(F.substring(last["word"], len(option) + 2, 1_000_000)))
+                  .otherwise(last["word"].substr(F.lit(len(option) + 2), F.length(last["word"]))))
 
 
 def list_text(names: Column) -> Column:

@@ -5,7 +5,7 @@ not before `now - window`.
 """
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from refreshgate.functions.names import group_name, without
 from refreshgate.functions.times import age_text, minutes_before, utc_text
@@ -28,19 +28,54 @@ class Signals:
 
 def gather_signals(table_meta: DataFrame, table_history: DataFrame, flow_definitions: DataFrame, flow_progress: DataFrame,
                    job_runs: DataFrame, pipeline_events: DataFrame | None = None,
-                   pipeline_updates: DataFrame | None = None, scan_errors: DataFrame | None = None) -> Signals:
+                   pipeline_updates: DataFrame | None = None, scan_errors: DataFrame | None = None,
+                   tracker: DataFrame | None = None) -> Signals:
+    """All signals; with `tracker`, of the tables, pipelines and jobs that its rows name, and no other.
+
+    Histories are then narrowed by semi joins before they are aggregated. A materialized view has no history to read.
+    """
+    if tracker is None:
+        return Signals(
+            table_meta, sig.last_write(table_history),
+            sig.pipeline_success(table_meta, pipeline_events, flow_definitions, flow_progress, pipeline_updates),
+            sig.job_success(job_runs), scan_errors)
+    sources = row_sources(tracker_rows(tracker))
+    tables = sources.where(F.col("table_name").isNotNull()).select("table_name").distinct()
+    meta = table_meta.join(tables, "table_name", "left_semi")
+    views = table_meta.where(F.col("table_type") == sig.MATERIALIZED_VIEW).select("table_name")
+    owned = sig.owned_by_pipeline(meta)
+    pipelines, ids = owned.select("pipeline_id").distinct(), owned.select(F.col("table_id").alias("uc_table_id")).distinct()
+    jobs = sources.where(F.col("tracker_job").isNotNull()).select(
+        F.col("tracker_job").try_cast("bigint").alias("job_id")).distinct()
+
+    def of(rows, names, key):
+        return None if rows is None else rows.join(names, key, "left_semi")
+
     return Signals(
-        table_meta, sig.last_write(table_history),
-        sig.pipeline_success(table_meta, pipeline_events, flow_definitions, flow_progress, pipeline_updates),
-        sig.job_success(job_runs), scan_errors)
+        meta, sig.last_write(of(table_history, tables.join(views, "table_name", "left_anti"), "table_name")),
+        sig.pipeline_success(meta, of(pipeline_events, ids, "uc_table_id"), of(flow_definitions, pipelines, "pipeline_id"),
+                             of(flow_progress, pipelines, "pipeline_id"), of(pipeline_updates, pipelines, "pipeline_id")),
+        sig.job_success(of(job_runs, jobs, "job_id")), scan_errors)
+
+
+IDENTITY = ("entity_name", "entity_type", "src_group", "target_tables", "src_tables", "src_tables_to_skip", "src_table_producers",
+            "refresh_window_btn_tables_in_mins")
+
+
+def with_row_id(tracker: DataFrame) -> DataFrame:
+    """Tracker rows with `row_id`: a hash of what the row says, NULLs included, and of its number among equal rows, so
+    that every row is judged by itself and the ids are the same whenever they are worked out."""
+    content = F.to_json(F.struct(*IDENTITY), {"ignoreNullFields": "false"})
+    rows = tracker.withColumn("_content", F.xxhash64(content))
+    equal = Window.partitionBy("entity_name", "_content").orderBy("entity_type")
+    return rows.withColumn("row_id", F.xxhash64("_content", F.row_number().over(equal))).drop("_content")
 
 
 def tracker_rows(tracker: DataFrame) -> DataFrame:
-    """Tracker rows with the group named, the skipped sources taken out and a row id that depends on content only."""
-    content = F.xxhash64("entity_name", "entity_type", "src_group", "target_tables", "src_tables", "src_tables_to_skip",
-                         "refresh_window_btn_tables_in_mins")
-    return tracker.select(
-        "entity_name", "entity_type", group_name(F.col("src_group")).alias("src_group"), content.alias("row_id"),
+    """Tracker rows with a row id, the group named and the skipped sources taken out."""
+    rows = tracker if "row_id" in tracker.columns else with_row_id(tracker)
+    return rows.select(
+        "entity_name", "entity_type", group_name(F.col("src_group")).alias("src_group"), "row_id",
         F.col("refresh_window_btn_tables_in_mins").alias("window_mins"), "target_tables", "src_tables",
         without(F.coalesce("src_tables", F.array().cast("array<string>")), F.col("src_tables_to_skip")).alias("tables"),
         "src_table_producers")

@@ -1,6 +1,7 @@
 """From lineage to tracker rows, for all entities in one plan: what an entity owns, reads and finally writes, and what
 produces its sources."""
 from functools import cached_property
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -106,12 +107,13 @@ def external_inputs(owned: DataFrame, edges: DataFrame) -> DataFrame:
     return read.join(owned, ENTITY + ["table_name"], "left_anti")
 
 
-def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Each root name followed through views: (root, name, kind) with kind TABLE, MISSING or UNRESOLVED.
+def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Each root name followed through views to the end: (root, name, kind) with kind TABLE, MISSING or UNRESOLVED.
 
-    Breadth first. A name counts at its smallest depth, so circular views end by themselves: they only reach names
-    already found nearer. A view at `max_depth` is unresolved; a table there is kept. The walk stays one lazy plan up
-    to `LEVELS_PER_CUT` levels, since a level's shuffle is reused by the next; longer walks are cut in between.
+    Breadth first. A name counts at its smallest depth, and names seen before are not followed again, so circular views
+    end by themselves. With `max_depth`, a view at that depth is unresolved; a table there is kept. The walk stays one
+    lazy plan up to `LEVELS_PER_CUT` levels, since a level's shuffle is reused by the next; longer walks are cut in
+    between, where names seen are taken out.
     """
     readable = table_meta.where(F.coalesce(F.col("access") != NO_ACCESS, F.lit(True)))
     views = readable.where(F.col("table_type").isin(*VIEW_TYPES)).select(F.col("table_name").alias("name"))
@@ -119,7 +121,7 @@ def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
              .join(views, "name", "left_semi"))
     level = roots.select(F.col("table_name").alias("root"), F.col("table_name").alias("name")).distinct()
     reached = level.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         level = level.join(steps, "name").select("root", F.col("dep").alias("name")).distinct()
         if depth % LEVELS_PER_CUT == 0:
             level = cut_lineage(level.join(reached.select("root", "name"), ["root", "name"], "left_anti"))
@@ -130,13 +132,14 @@ def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
     meta = table_meta.select(F.col("table_name").alias("name"), "table_type", "access", F.lit(True).alias("known"))
     is_view = F.coalesce(F.col("table_type").isin(*VIEW_TYPES), F.lit(False))
     kind = (F.when(F.col("known").isNull() | (F.col("access") == NO_ACCESS), "MISSING")
-            .when(~is_view, "TABLE").when(F.col("depth") >= max_depth, "UNRESOLVED"))
+            .when(~is_view, "TABLE").when(F.lit(False) if max_depth is None else F.col("depth") >= max_depth, "UNRESOLVED"))
     shown = F.when(F.col("access") == NO_ACCESS, F.concat("name", F.lit(" (no access)"))).otherwise(F.col("name"))
     return (nearest.join(meta, "name", "left").select("root", shown.alias("name"), kind.alias("kind"))
             .where(F.col("kind").isNotNull()))
 
 
-def expanded_inputs(inputs: DataFrame, table_meta: DataFrame, view_deps: DataFrame, max_depth: int = 5) -> DataFrame:
+def expanded_inputs(inputs: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
+                    max_depth: int | None = None) -> DataFrame:
     """External inputs of all entities with views expanded: (entity, name, kind). Each name is walked once."""
     walked = expand_views(inputs.select("table_name").distinct(), table_meta, view_deps, max_depth)
     return (inputs.join(walked.withColumnRenamed("root", "table_name"), "table_name")
@@ -149,6 +152,11 @@ def entity_sources(expanded: DataFrame, owned: DataFrame) -> DataFrame:
     return tables.join(owned, ENTITY + ["table_name"], "left_anti")
 
 
+def unfollowed_sources(expanded: DataFrame) -> DataFrame:
+    """Names an entity reads that could not be followed to a table: they are in no tracker row, so they are reported."""
+    return expanded.where(F.col("kind") != "TABLE")
+
+
 def job_writers(table_lineage: DataFrame) -> DataFrame:
     """table_name -> the job behind its latest lineage write. Reduced to one row per table and job before the pick."""
     per_job = (table_lineage.where((F.col("entity_type") == "JOB") & F.col("target_table_full_name").isNotNull())
@@ -177,7 +185,7 @@ class Discovery:
     """
 
     def __init__(self, entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
-                 table_meta: DataFrame, view_deps: DataFrame, max_depth: int = 5):
+                 table_meta: DataFrame, view_deps: DataFrame, max_depth: int | None = None):
         self.resolved = resolved.join(entities.select(*ENTITY).distinct(), ENTITY, "left_semi")
         self.job_tasks, self.table_lineage, self.table_meta = job_tasks, table_lineage, table_meta
         self.view_deps, self.max_depth = view_deps, max_depth
@@ -217,7 +225,7 @@ class Discovery:
 
 def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
                  table_meta: DataFrame, view_deps: DataFrame, subset: DataFrame | None = None,
-                 max_depth: int = 5) -> DataFrame:
+                 max_depth: int | None = None) -> DataFrame:
     """One incoming tracker row per requested (entity_type, entity_name, src_group), OK or with an error.
 
     `subset` (entity_type, entity_name, src_group, table_name) narrows a group to some of the discovered sources; a

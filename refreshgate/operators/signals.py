@@ -19,7 +19,6 @@ ROW_METRICS = (
 ACTIVE_PIPELINE_STATES = ("RUNNING", "STARTING", "DEPLOYING", "RESETTING")
 FINAL_UPDATE_STATES = ("COMPLETED", "FAILED", "CANCELED")
 FINAL_RUN_STATES = ("TERMINATED", "SKIPPED", "INTERNAL_ERROR")
-RUN_DEPTH = 25
 
 MATERIALIZED_VIEW = "MATERIALIZED_VIEW"
 EVENTS_SIGNAL = "pipeline_events system table"
@@ -101,15 +100,17 @@ def flow_signal(update_id: Column, output_rows: Column, upserted_rows: Column, d
                     F.when(shown == "", "0 rows").otherwise(shown))
 
 
-def newest_runs(job_runs: DataFrame, depth: int = RUN_DEPTH) -> DataFrame:
-    """Each job's newest `depth` runs. The rank limit is applied before the shuffle too, so a job with most of the
-    runs sends at most `depth` of them per task."""
+def newest_runs(job_runs: DataFrame, depth: int | None = None) -> DataFrame:
+    """Each job's newest `depth` runs, all of them without a limit. The rank limit is applied before the shuffle too,
+    so a job with most of the runs sends at most `depth` of them per task."""
+    if depth is None:
+        return job_runs
     newest = Window.partitionBy("job_id").orderBy(F.desc("start_ms"), F.desc("run_id"))
     return job_runs.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= depth)
 
 
-def job_success(job_runs: DataFrame, depth: int = RUN_DEPTH) -> DataFrame:
-    """job_id -> end and id of the newest success among its newest `depth` completed runs."""
+def job_success(job_runs: DataFrame, depth: int | None = None) -> DataFrame:
+    """job_id -> end and id of its newest successful run, among its newest `depth` completed runs if that is given."""
     completed = job_runs.where(F.col("life_cycle_state").isin(*FINAL_RUN_STATES)).select(
         "job_id", "run_id", "start_ms", "end_ms", "result_state")
     return (newest_runs(completed, depth).where(F.col("result_state") == "SUCCESS")

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from refreshgate.functions.names import DEFAULT_GROUP, group_name, without
-from refreshgate.operators.freshness import ROW_KEY, tracker_rows
+from refreshgate.operators.freshness import tracker_rows, with_row_id
 from refreshgate.operators.runs import ENTITY_TYPES
 from refreshgate.schemas import PRODUCERS_TYPE, TRACKER_COLUMNS
 
@@ -23,16 +23,11 @@ def select_rows(tracker: DataFrame, entity_type: str = "ALL", entity_name: str |
 
 
 def candidates(tracker: DataFrame, refreshed: DataFrame, entity_type: str = "ALL") -> DataFrame:
-    """Tracker rows that read one of the `refreshed` tables without skipping it."""
-    rows = tracker_rows(select_rows(tracker, entity_type))
-    hits = (rows.select(*ROW_KEY, F.explode("tables").alias("table_name"))
-            .join(refreshed.select("table_name"), "table_name", "left_semi").select(*ROW_KEY).distinct())
-    keyed = select_rows(tracker, entity_type).select(
-        "*", group_name(F.col("src_group")).alias("_group"),
-        F.xxhash64("entity_name", "entity_type", "src_group", "target_tables", "src_tables", "src_tables_to_skip",
-                   "refresh_window_btn_tables_in_mins").alias("_row_id"))
-    hits = hits.select("entity_name", "entity_type", F.col("src_group").alias("_group"), F.col("row_id").alias("_row_id"))
-    return keyed.join(hits, ["entity_name", "entity_type", "_group", "_row_id"], "left_semi").drop("_group", "_row_id")
+    """Tracker rows that read one of the `refreshed` tables without skipping it, whatever their type."""
+    rows = with_row_id(select_rows(tracker, entity_type))
+    hits = (tracker_rows(rows).select("row_id", F.explode("tables").alias("table_name"))
+            .join(refreshed.select("table_name"), "table_name", "left_semi").select("row_id").distinct())
+    return rows.join(hits, "row_id", "left_semi").select(*tracker.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, today: str, user: str) -> DataFrame:
@@ -70,8 +65,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, today: str, user: str) -> D
         audit("updated_by", F.lit(user)))
 
 
-def merge_statement(tracker_table: str, incoming_view: str) -> str:
-    """The same upsert as one MERGE, for a catalog whose tables support row-level changes."""
+def merge_statement() -> str:
+    """The same upsert as one MERGE, for a catalog whose tables support row-level changes; to be run with the named
+    parameters `tracker` and `incoming`, the names of the table and of the view with the new rows."""
     columns = list(TRACKER_COLUMNS)
     values = {"entity_name": "s.entity_name", "entity_type": "s.entity_type", "src_group": "s.src_group",
               "target_tables": "s.target_tables", "src_tables": "s.src_tables",
@@ -79,7 +75,7 @@ def merge_statement(tracker_table: str, incoming_view: str) -> str:
               "refresh_window_btn_tables_in_mins": str(DEFAULT_WINDOW_MINS), "created_on": "current_date()",
               "updated_on": "current_date()", "created_by": "current_user()", "updated_by": "current_user()"}
     replaced = ("target_tables", "src_tables", "src_table_producers", "updated_on", "updated_by")
-    return (f"MERGE INTO {tracker_table} AS t USING {incoming_view} AS s "
+    return (f"MERGE INTO IDENTIFIER(:tracker) AS t USING IDENTIFIER(:incoming) AS s "
             f"ON t.entity_name = s.entity_name AND t.entity_type = s.entity_type "
             f"AND coalesce(t.src_group, '{DEFAULT_GROUP}') = s.src_group "
             f"WHEN MATCHED THEN UPDATE SET {', '.join(f't.{c} = {values[c]}' for c in replaced)} "

@@ -71,9 +71,8 @@ STEPS = {
     "job_done": """
         select * from (
           select job_id, end_ms as done_ms, run_id, row_number() over (partition by job_id order by start_ms desc, run_id desc) as n
-          from (select *, row_number() over (partition by job_id order by start_ms desc, run_id desc) as recency
-                from job_runs where life_cycle_state in ('TERMINATED', 'SKIPPED', 'INTERNAL_ERROR'))
-          where recency <= 25 and result_state = 'SUCCESS') where n = 1""",
+          from job_runs where life_cycle_state in ('TERMINATED', 'SKIPPED', 'INTERNAL_ERROR')
+            and result_state = 'SUCCESS') where n = 1""",
     "pipeline_done": """
         select m.table_name, m.pipeline_id, f.done_ms as log_ms,
           case when e.done_ms is null and f.done_ms is null then c.start_ms
@@ -183,10 +182,9 @@ STEPS |= {
     "previous": """
         select 'JOB' as entity_type, cast(job_id as string) as entity_id, start_ms as prev_start_ms,
           cast(run_id as string) as prev_id, coalesce(result_state, life_cycle_state) as prev_state
-        from (select *, row_number() over (partition by job_id order by start_ms desc, run_id desc) as n from (
-            select *, row_number() over (partition by job_id order by start_ms desc, run_id desc) as recency from job_runs)
-          where recency <= 25 and (result_state = 'SUCCESS' or (result_state is null and life_cycle_state in
-            ('PENDING', 'QUEUED', 'RUNNING', 'BLOCKED', 'WAITING_FOR_RETRY', 'TERMINATING')))) where n = 1
+        from (select *, row_number() over (partition by job_id order by start_ms desc, run_id desc) as n from job_runs
+          where result_state = 'SUCCESS' or (result_state is null and life_cycle_state in
+            ('PENDING', 'QUEUED', 'RUNNING', 'BLOCKED', 'WAITING_FOR_RETRY', 'TERMINATING'))) where n = 1
         union all
         select 'PIPELINE', pipeline_id, creation_ms, update_id, state
         from (select *, row_number() over (partition by pipeline_id order by creation_ms desc, update_id desc) as n
@@ -232,7 +230,7 @@ STEPS |= {
         select table_name as root, table_name as name, 0 as depth from table_meta
         union all
         select w.root, d.dep, w.depth + 1 from walk w join views v on v.table_name = w.name
-          join view_deps d on d.view_name = w.name where w.depth < 5""",
+          join view_deps d on d.view_name = w.name""",
     "reached": "select root, name, min(depth) as depth from walk group by all",
     "expanded": """
         select r.root, r.name from reached r join table_meta m on m.table_name = r.name
@@ -433,6 +431,10 @@ RESULTS = {
             case when m.name is null or m.n % 13 = 4 then 'MISSING' when m.is_view and r.depth >= 2 then 'UNRESOLVED' end as kind
           from (select root, name, min(depth) as depth from seen group by all) r
             left join known m on m.name = r.name) where kind is not null""",
+    "unfollowed_sources": """
+        select distinct i.entity_type, i.entity_name, w.name, 'MISSING' as kind from inputs i
+        join (select root, name from walk union select table_name, table_name from inputs) w on w.root = i.table_name
+        where w.name not in (select table_name from table_meta)""",
     "source_producers": """
         select * from produced where table_name in (select source_table_full_name from table_lineage
           union select target_table_full_name from table_lineage)""",

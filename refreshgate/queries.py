@@ -30,13 +30,20 @@ class Run:
         return freshness.gather_signals(fx.table_meta, fx.table_history, fx.flow_definitions, fx.flow_progress, fx.job_runs,
                                         fx.pipeline_events, fx.pipeline_updates)
 
+    @cached_property
+    def tracked_signals(self) -> freshness.Signals:
+        """Of what the tracker names."""
+        fx = self.fx
+        return freshness.gather_signals(fx.table_meta, fx.table_history, fx.flow_definitions, fx.flow_progress, fx.job_runs,
+                                        fx.pipeline_events, fx.pipeline_updates, tracker=fx.tracker)
+
     @cached_property
     def status(self) -> DataFrame:
-        return freshness.source_status(self.fx.tracker, self.signals, NOW_MS)
+        return freshness.source_status(self.fx.tracker, self.tracked_signals, NOW_MS)
 
     @cached_property
     def refreshed_status(self) -> DataFrame:
-        return freshness.source_status(self.fx.tracker, self.signals, NOW_MS, self.fx.refreshed)
+        return freshness.source_status(self.fx.tracker, self.tracked_signals, NOW_MS, self.fx.refreshed)
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -79,7 +86,7 @@ class Run:
     def plan(self) -> DataFrame:
         fx = self.fx
         platform = launch.Platform(fx.job_runs, fx.jobs, fx.job_tasks, fx.active_tasks, fx.pipelines, fx.pipeline_updates)
-        return launch.launch_plan(fx.tracker, fx.refreshed, self.signals, platform, NOW_MS, LAUNCH_SCRIPT)
+        return launch.launch_plan(fx.tracker, fx.refreshed, self.tracked_signals, platform, NOW_MS, LAUNCH_SCRIPT)
 
     @cached_property
     def edits(self) -> DataFrame:
@@ -120,11 +127,11 @@ STATUS_COLUMNS = ["entity_name", "entity_type", "src_group", "table_name", "wind
 
 
 def last_write(run: Run) -> DataFrame:
-    return run.signals.last_write.select("table_name", "last_write_ms", "operation")
+    return sig.last_write(run.fx.table_history).select("table_name", "last_write_ms", "operation")
 
 
 def impacted_rows(run: Run) -> DataFrame:
-    return run.signals.last_write.select("table_name", _rows_text(F.col("impacted")))
+    return sig.last_write(run.fx.table_history).select("table_name", _rows_text(F.col("impacted")))
 
 
 def flow_last_completed(run: Run) -> DataFrame:
@@ -149,7 +156,7 @@ def events_last_completed(run: Run) -> DataFrame:
 
 
 def job_last_success(run: Run) -> DataFrame:
-    return run.signals.job_success
+    return sig.job_success(run.fx.job_runs)
 
 
 def pipeline_last_success(run: Run) -> DataFrame:
@@ -257,11 +264,13 @@ def view_expansion(run: Run) -> DataFrame:
 
 
 def missing_and_unresolved(run: Run) -> DataFrame:
-    """Tables and lineage sources of all entities, followed to depth 2 with part of the metadata withheld."""
-    meta = run.fx.table_meta.where(F.regexp_extract("table_name", r"(\d+)$", 1).cast("bigint") % 11 != 3).withColumn(
-        "access", F.when(F.regexp_extract("table_name", r"(\d+)$", 1).cast("bigint") % 13 == 4, lineage.NO_ACCESS))
+    """All tables, followed to depth 2 over metadata in which some are missing or closed."""
     roots = run.fx.table_meta.select("table_name")
-    return lineage.expand_views(roots, meta, run.fx.view_deps, max_depth=2).where(F.col("kind") != "TABLE")
+    return lineage.expand_views(roots, run.fx.partial_meta, run.fx.view_deps, max_depth=2).where(F.col("kind") != "TABLE")
+
+
+def unfollowed_sources(run: Run) -> DataFrame:
+    return lineage.unfollowed_sources(run.lineage.expanded)
 
 
 def source_producers(run: Run) -> DataFrame:
@@ -378,6 +387,6 @@ QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
     job_last_success, pipeline_last_success, update_covering_table, resolve_producer, source_status, source_status_text,
     refreshed_now_status, group_verdict, entity_gate, gate_lines, stale_report, already_processed, previous_runs, candidates,
     run_state, decide, resolve_name, name_matches, owned_tables, target_counts, latest_write_edges, final_targets,
-    external_inputs, view_expansion, missing_and_unresolved, source_producers, tracker_rows, tracker_upsert, tracker_edits,
+    external_inputs, view_expansion, missing_and_unresolved, unfollowed_sources, source_producers, tracker_rows, tracker_upsert, tracker_edits,
     tracker_validate, entity_edges, running_producers, launch_task_params, jobs_running_pipelines, upstream_levels,
     launch_plan, plan_summary, consecutive_failures, no_success_for, refresh_gaps, stream_refresh_state)

@@ -43,7 +43,7 @@ TEMPLATES = {
         select 'tid-' || o_custkey as uc_table_id, 'flow_progress' as event_type,
           case o_orderstatus when 'F' then 'COMPLETED' when 'O' then 'RUNNING' else 'FAILED' end as status,
           1704067200000 + (o_orderkey * 7901 % 2592000) * 1000 as ts_ms
-        from {orders} where o_orderkey % 4 <> 0""",
+        from {orders}""",
     "flow_definitions": """
         select 'p-' || (c_custkey % 40) as pipeline_id, 'f-' || c_custkey as flow_name,
           case c_custkey % 3 when 0 then 'main.demo.t' || c_custkey when 1 then 'demo.t' || c_custkey
@@ -170,6 +170,12 @@ class Fixtures:
     def table_meta(self) -> DataFrame:
         return self.view("table_meta").withColumn("access", F.lit(None).cast("string"))
 
+    @cached_property
+    def partial_meta(self) -> DataFrame:
+        """Metadata in which every eleventh table is missing and every thirteenth cannot be read."""
+        number = F.regexp_extract("table_name", r"(\d+)$", 1).cast("bigint")
+        return self.view("table_meta").where(number % 11 != 3).withColumn("access", F.when(number % 13 == 4, "NO_ACCESS"))
+
     @cached_property
     def table_history(self) -> DataFrame:
         return self.view("table_history")

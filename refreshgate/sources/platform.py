@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from refreshgate.functions.times import MS_PER_DAY, iso_ms, timestamp_ms
 
 PRODUCER_LOOKBACK_DAYS = 31
-LINEAGE_LOOKBACK_DAYS = 90
 
 
 def producer_since_ms(now_ms: int) -> int:
@@ -69,11 +68,14 @@ def pipeline_updates(raw: DataFrame) -> DataFrame:
     return raw.withColumn("creation_ms", iso_ms(F.col("creation_time"))).drop("creation_time")
 
 
-def table_lineage(raw: DataFrame, today_ms: int, workspace_id: str | None = None,
-                  lookback_days: int = LINEAGE_LOOKBACK_DAYS) -> DataFrame:
-    """Lineage of the last `lookback_days`; `event_date` is the partition column, so old partitions are not read."""
-    first_day = F.date_sub(F.lit("1970-01-01").cast("date"), -(today_ms // MS_PER_DAY) + lookback_days)
-    rows = raw.where(F.col("event_date") >= first_day)
+def table_lineage(raw: DataFrame, today_ms: int | None = None, lookback_days: int | None = None,
+                  workspace_id: str | None = None) -> DataFrame:
+    """Lineage, of the `lookback_days` up to `today_ms` if they are given; `event_date` is the partition column, so old
+    partitions are not read then."""
+    rows = raw
+    if lookback_days is not None:
+        rows = raw.where(F.col("event_date") >= F.date_sub(F.lit("1970-01-01").cast("date"),
+                                                           -(today_ms // MS_PER_DAY) + lookback_days))
     if workspace_id is not None:
         rows = rows.where(F.col("workspace_id") == workspace_id)
     if "ts_ms" not in raw.columns:

@@ -192,3 +192,11 @@ def test_matches_a_loop_over_tables_on_random_input(spark):
             data = latest([write, actual]) if t in refreshed else at_ms
             want[(name, t)] = (at_ms, data, at_ms is not None and at_ms >= NOW - window * 60_000, kind)
     assert got == want
+
+
+def test_equal_rows_and_rows_that_differ_in_producers_are_judged_each(spark):
+    same = ("A", "JOB", "d", [], ["s"], None, None, 60)
+    rows = tracker(spark, same, same, ("A", "JOB", "d", [], ["s"], None, {"s": ("JOB", "1")}, 60), (None, "A", "JOB", [], ["s"], None, None, 60),
+                   ("A", None, "JOB", [], ["s"], None, None, 60))
+    groups = group_verdict(source_status(rows, signals(spark), at("03:00")))
+    assert records(groups, "n_sources", "stale") == [(1, ["s"])] * 5

@@ -71,6 +71,12 @@ def test_group_name(spark):
     assert records(df) == [("daily",), ("default",), ("default",)]
 
 
+def test_option_value_is_not_cut(spark):
+    value = "main.some_schema.some_table," * 50_000
+    got = spark.createDataFrame([([f"--src_tables={value}"],)], "p array<string>").select(names.option_value(F.col("p"), "--src_tables")).first()
+    assert got[0] == value and len(value) > 1_000_000
+
+
 def test_option_value_takes_the_last_of_both_forms(spark):
     lists = [(["--a=1", "--a", "2", "--b=x"], "2"), (["--a", "2", "--a=3=4"], "3=4"), (["--b=1"], None), (["--a"], None)]
     df = spark.createDataFrame([(x,) for x, _ in lists], "p array<string>").select(names.option_value(F.col("p"), "--a"))

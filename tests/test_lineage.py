@@ -77,7 +77,7 @@ def _expand(tables, deps, root, max_depth):
                 found.add((f"{name} (no access)", "MISSING"))
             elif kind not in lineage.VIEW_TYPES:
                 found.add((name, "TABLE"))
-            elif depth >= max_depth:
+            elif max_depth is not None and depth >= max_depth:
                 found.add((name, "UNRESOLVED"))
             else:
                 following |= {d for v, d in deps if v == name} - seen
@@ -88,7 +88,7 @@ def _expand(tables, deps, root, max_depth):
 
 def test_view_expansion_on_random_graphs(spark):
     rng = random.Random(3)
-    for max_depth in (0, 2, 5, 8):
+    for max_depth in (0, 2, 8, None):
         names = [f"n{i}" for i in range(14)]
         tables = {n: (rng.choice(["VIEW", "VIEW", "METRIC_VIEW", "MANAGED", None]), rng.choice([None] * 6 + [lineage.NO_ACCESS]))
                   for n in names if rng.random() < 0.9}
@@ -98,3 +98,11 @@ def test_view_expansion_on_random_graphs(spark):
                                    relation(spark, schemas.VIEW_DEPS, deps), max_depth)
         want = set().union(*[_expand(tables, deps, n, max_depth) for n in names])
         assert {tuple(r) for r in got.select("root", "name", "kind").collect()} == want
+
+
+def test_a_long_chain_of_views_is_followed_to_its_table(spark):
+    names = [f"v{i:02d}" for i in range(20)]
+    deps = [*zip(names, names[1:]), (names[-1], "t"), (names[3], names[1])]
+    rows = meta(spark, *[(n, "VIEW", None, None) for n in names], ("t", "MANAGED", None, None))
+    got = lineage.expand_views(relation(spark, "table_name string", [(names[0],)]), rows, relation(spark, schemas.VIEW_DEPS, deps))
+    assert records(got) == [(names[0], "t", "TABLE")]

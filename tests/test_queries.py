@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from refreshgate import queries as named
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
@@ -19,7 +20,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+NAMES = [query.__name__ for query in named.QUERIES]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
@@ -37,7 +41,8 @@ def test_query(spark, duck, name):
 
 def test_registry():
     assert set(SQL) <= set(entry.queries())
-    assert set(entry.queries()) - set(SQL) == {"launch_plan", "plan_summary"}
+    assert set(NAMES) <= set(entry.queries())
+    assert set(NAMES) - set(SQL) == {"launch_plan", "plan_summary"}
 
 
 def test_entry(spark):

@@ -26,10 +26,12 @@ def test_previous_run(spark):
         ("1", "97", "SUCCESS"), ("2", "199", "RUNNING"), ("3", "97", "SUCCESS"), ("5", "7", "TERMINATING")]
 
 
-def test_previous_run_looks_back_25_runs(spark):
+def test_previous_run_with_and_without_a_limit(spark):
     rows = [(1, i, i, "SUCCESS" if i == 5 else "FAILED", "TERMINATED") for i in range(30)]
     rows += [(2, i, i, "SUCCESS" if i == 4 else "FAILED", "TERMINATED") for i in range(30)]
-    assert records(runs.previous_runs(job_runs(spark, *rows), no_updates(spark)), "entity_id", "prev_id") == [("1", "5")]
+    found = job_runs(spark, *rows)
+    assert records(runs.previous_runs(found, no_updates(spark)), "entity_id", "prev_id") == [("1", "5"), ("2", "4")]
+    assert records(runs.previous_runs(found, no_updates(spark), depth=25), "entity_id", "prev_id") == [("1", "5")]
 
 
 def test_previous_update(spark):

@@ -66,12 +66,14 @@ def test_flow_defined_onto_two_datasets_and_null_update(spark):
         ("a", 99, None, None), ("b", 99, None, None)]
 
 
-def test_job_success_looks_at_the_newest_completed_runs_only(spark):
+def test_job_success_with_and_without_a_limit(spark):
     runs = [(1, i, i * 10, i * 10 + 5, "SUCCESS" if i == 1 else "FAILED", "TERMINATED") for i in range(1, 31)]
     runs += [(2, i, i * 10, i * 10 + 5, "SUCCESS" if i == 6 else "FAILED", "TERMINATED") for i in range(1, 31)]
     runs += [(2, 99, 990, None, None, "RUNNING"), (3, 1, 10, 15, "SUCCESS", "TERMINATED")]
-    got = sig.job_success(relation(spark, schemas.JOB_RUNS, runs))
-    assert records(got) == [(2, 65, 6), (3, 15, 1)]
+    runs += [(4, i, i * 10, i * 10 + 5, "SUCCESS" if i == 1 else "FAILED", "TERMINATED") for i in range(1, 42)]
+    rows = relation(spark, schemas.JOB_RUNS, runs)
+    assert records(sig.job_success(rows)) == [(1, 15, 1), (2, 65, 6), (3, 15, 1), (4, 15, 1)]
+    assert records(sig.job_success(rows, depth=25)) == [(2, 65, 6), (3, 15, 1)]
 
 
 def test_running_producer(spark):

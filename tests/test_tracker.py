@@ -19,6 +19,13 @@ def test_candidates(spark):
     assert ops.candidates(rows, refreshed).columns == rows.columns
 
 
+def test_candidates_of_any_type_and_repeated(spark):
+    rows = tracker(spark, ("A", None, "d", [], ["x"], None, None, 5), ("A", "JOB", "d", [], ["x"], None, None, 5), ("A", "JOB", "d", [], ["x"], None, None, 5),
+                   ("A", "JOB", "d", ["x"], None, None, None, 5), (None, None, None, [], ["x"], None, {"x": ("JOB", "1")}, None))
+    got = ops.candidates(rows, relation(spark, "table_name string", [("x",)]))
+    assert records(got, "entity_name", "entity_type") == [("A", "JOB"), ("A", "JOB"), ("A", None), (None, None)]
+
+
 def test_select_rows(spark):
     rows = tracker(spark, *[(n, k, g, [], [], None, None, 5) for n, k, g in [("A", "JOB", None), ("A", "JOB", "w"), ("B", "PIPELINE", "w")]])
     assert ops.select_rows(rows, "JOB", "A").count() == 2
@@ -96,7 +103,5 @@ def test_tracker_table_and_snapshot(spark, tmp_path):
 
 
 def test_merge_statement_parses(spark):
-    rows = tracker(spark, ("A", "JOB", None, [], ["s"], None, None, 5))
-    rows.createOrReplaceTempView("incoming_rows")
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(ops.merge_statement("c.s.tracker", "incoming_rows"))
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(ops.merge_statement())
     assert "MergeIntoTable" in parsed.toString()
