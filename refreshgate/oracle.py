@@ -318,6 +318,154 @@ STEPS |= {
           list_filter(parameters, lambda p: starts_with(p, '--dry_run='))[-1] as dry from launch_tasks""",
 }
 
+# the launch plan: levels are unrolled, each entity after those it waits for
+LAUNCH_LEVELS = "abcdefghijklmn"
+UNCOVERED = """
+        select f.key, f.src_group, f.pipeline_id, f.update_id, min(f.table_name) as table_name,
+          arg_min(f.hands_off, f.table_name) as hands_off, arg_min(f.job_id, f.table_name) as job_id
+        from row_producers f where not exists (select 1 from row_upstreams u join {launched} g on g.entity = u.upstream
+          where u.key = f.key and u.src_group = f.src_group and u.table_name = f.table_name)
+        group by f.key, f.src_group, f.pipeline_id, f.update_id"""
+STEPS |= {
+    "chosen_rows": """
+        select *, entity_type || ':' || entity_name as key from tracker_rows_in
+        where list_has_any(tables, (select list(table_name) from refreshed_tables))""",
+    "verdicts_now": """
+        select t.entity_name, t.entity_type, t.key, t.grp as src_group, s.newest_refresh_ms, coalesce(s.stale, []) as stale,
+          coalesce(s.no_change, []) as no_change,
+          case when t.refresh_window_btn_tables_in_mins is null or len(t.tables) = 0 then 'UNCHECKED'
+            when s.n_stale > 0 then 'STALE' else 'FRESH' end as verdict
+        from chosen_rows t left join (
+          select entity_name, src_group, count(*) filter (not is_fresh) as n_stale,
+            max(data_refreshed_at_ms) as newest_refresh_ms,
+            list(table_name order by pos) filter (not is_fresh) as stale,
+            list(table_name order by pos) filter (met_without_row_changes) as no_change
+          from status_now group by all) s on s.entity_name = t.entity_name and s.src_group = t.grp""",
+    "due_rows": f"""
+        select v.*, r.entity_id, r.error as name_error,
+          case when s.latest_start_ms >= v.newest_refresh_ms then 'SKIP' when s.active then 'QUEUE' else 'LAUNCH' end as action,
+          case when s.latest_start_ms >= v.newest_refresh_ms then 'run ' || coalesce(s.latest_id, 'None') || case when s.active
+              then ' (in progress)' else ' (finished)' end || ' started ' || {utc('s.latest_start_ms')}
+              || ', after the newest source refresh ' || {utc('v.newest_refresh_ms')}
+            when s.active then 'run ' || coalesce(s.latest_id, 'None') || ' in progress started ' || {utc('s.latest_start_ms')}
+              || ', before the newest source refresh ' || {utc('v.newest_refresh_ms')} end as due
+        from verdicts_now v left join resolved r on r.entity_type = v.entity_type and r.entity_name = v.entity_name
+          left join states s on s.entity_type = v.entity_type and s.entity_id = r.entity_id""",
+    "settled_rows": f"""
+        select *, case when verdict <> 'FRESH' then 'SKIPPED' when entity_id is null then 'NOT_FOUND'
+            when action = 'SKIP' then 'ALREADY_HANDLED' end as status,
+          case when verdict = 'UNCHECKED' then 'refresh window is NULL or no source tables to check'
+            when verdict = 'STALE' then 'stale sources: ' || {names('stale')} when entity_id is null then name_error
+            when action = 'SKIP' then due end as detail,
+          concat_ws('; ', due, case when len(no_change) > 0
+            then 'met by producer run without row changes: ' || {names('no_change')} end) as reason
+        from due_rows""",
+    "running_now": """
+        select m.table_name, m.pipeline_id, u.update_id, u.cause from table_meta m
+        join pipelines p on p.pipeline_id = m.pipeline_id and not p.continuous
+          and p.state in ('RUNNING', 'STARTING', 'DEPLOYING', 'RESETTING')
+        join (select *, row_number() over (partition by pipeline_id order by creation_ms desc, update_id desc) as n
+              from pipeline_updates where state not in ('COMPLETED', 'FAILED', 'CANCELED')) u
+          on u.pipeline_id = m.pipeline_id and u.n = 1""",
+    "pipeline_jobs": """
+        select pipeline_id, cast(arg_max(job_id, row(start_ms, run_id)) as string) as job_id from active_tasks
+        where life_cycle_state in ('PENDING', 'QUEUED', 'RUNNING', 'BLOCKED', 'WAITING_FOR_RETRY') group by 1""",
+    "planned": "select * from settled_rows where status is null",
+    "plan_sources": """
+        select p.key, p.src_group, p.entity_type, c.table_name from planned p
+        join (select key, grp, unnest(list_distinct(tables)) as table_name from chosen_rows) c
+          on c.key = p.key and c.grp = p.src_group""",
+    "plan_targets": """
+        select distinct key as upstream, unnest(target_tables) as table_name from chosen_rows
+        where key in (select key from planned)""",
+    "plan_edges": """
+        select distinct s.key as entity, t.upstream, s.table_name from plan_sources s
+        join plan_targets t on t.table_name = s.table_name and t.upstream <> s.key""",
+    "plan_paths": """
+        select distinct key as entity, 0 as level from planned
+        union all
+        select d.entity, p.level + 1 from plan_paths p join (select distinct entity, upstream from plan_edges) d
+          on d.upstream = p.entity""",
+    "plan_levels": "select entity, cast(max(level) as integer) as level from plan_paths group by 1",
+    "handoffs": """
+        select distinct t.job_id, k.entity_type, t.table_name from (
+          select cast(job_id as string) as job_id, covers, trim(unnest(string_split(substr(tables, 14), ','))) as table_name
+          from params where not (contains(dry, '{{') or lower(substr(dry, 11)) in ('true', '1', 'yes'))) t
+        join (select unnest(['JOB', 'PIPELINE']) as entity_type) k on t.covers = 'ALL' or t.covers = k.entity_type""",
+    "row_upstreams": """
+        select s.key, s.src_group, s.table_name, e.upstream, u.entity_type as upstream_type, u.entity_name as upstream_name,
+          l.level as upstream_level, h.job_id is not null as hands_off
+        from plan_sources s join plan_edges e on e.entity = s.key and e.table_name = s.table_name
+          join (select distinct key, entity_type, entity_name, entity_id from planned) u on u.key = e.upstream
+          join plan_levels l on l.entity = e.upstream
+          left join handoffs h on u.entity_type = 'JOB' and h.job_id = u.entity_id and h.entity_type = s.entity_type
+            and h.table_name = s.table_name""",
+    "row_producers": """
+        select s.key, s.src_group, s.table_name, r.pipeline_id, r.update_id, r.job_id, h.job_id is not null as hands_off
+        from plan_sources s join (
+            select n.*, case when n.cause = 'JOB_TASK' then j.job_id end as job_id
+            from running_now n left join pipeline_jobs j on j.pipeline_id = n.pipeline_id) r on r.table_name = s.table_name
+          left join handoffs h on h.job_id = r.job_id and h.entity_type = s.entity_type and h.table_name = s.table_name""",
+    "launched_none": "select cast(null as string) as entity where false",
+    "row_pairs": """
+        select u.key, u.src_group, u.upstream, u.upstream_level, u.upstream_type, u.upstream_name,
+          list_sort(list(distinct u.table_name)) as shared, bool_or(u.hands_off) as hands_off,
+          bool_or(g.entity is not null) as launches
+        from row_upstreams u left join launched g on g.entity = u.upstream
+        group by u.key, u.src_group, u.upstream, u.upstream_level, u.upstream_type, u.upstream_name""",
+    "row_steps": f"""
+        select key, src_group, arg_min('sources ' || {names('shared')} || case when launches
+              then ' are being refreshed by job ''' || upstream_name
+                || ''' launched in this task; its launch task launches this entity'
+              else ' are refreshed later by job ''' || upstream_name
+                || ''' (itself waiting on its upstream); its launch task launches this entity' end,
+            row(upstream_level, upstream)) filter (hands_off) as handoff,
+          list(upstream_type || ' ''' || upstream_name || ''' (refreshes ' || {names('shared')} || ')'
+            order by upstream_level, upstream) filter (launches and not hands_off) as waits,
+          list(upstream_type || ' ''' || upstream_name || ''' (refreshes ' || {names('shared')}
+              || ') is waiting on its upstream and has no launch task for this entity: launched on its current data'
+            order by upstream_level, upstream) filter (not launches and not hands_off) as notes
+        from row_pairs group by all""",
+    "producer_steps": """
+        select key, src_group, arg_min('source ' || table_name || ' is being refreshed by job ' || job_id
+            || ', whose launch task launches this entity', table_name) filter (hands_off) as handoff,
+          list('pipeline ' || pipeline_id || ' update ' || update_id || ' (running, refreshes ' || table_name || ')'
+            order by table_name) as waits
+        from (""" + UNCOVERED.format(launched="launched") + """) group by all""",
+    "stepped_rows": """
+        select p.*, l.level, coalesce(u.handoff, r.handoff) as handoff, coalesce(u.notes, []) as notes,
+          list_concat(coalesce(u.waits, []), coalesce(r.waits, [])) as waits
+        from planned p join plan_levels l on l.entity = p.key
+          left join row_steps u on u.key = p.key and u.src_group = p.src_group
+          left join producer_steps r on r.key = p.key and r.src_group = p.src_group""",
+    "acted_rows": """
+        select s.*, min(src_group) filter (handoff is null) over (partition by entity_type, entity_id) as acting
+        from stepped_rows s""",
+    "launch_rows": """
+        select entity_name, entity_type, src_group, entity_id, cast(null as integer) as level, status, detail from settled_rows
+        where status is not null
+        union all
+        select entity_name, entity_type, src_group, entity_id, level,
+          case when handoff is not null then 'WAITING_ON_UPSTREAM' when src_group = acting then 'DRY_RUN_' || action
+            else 'ALREADY_HANDLED' end,
+          case when handoff is not null then handoff
+            when src_group <> acting then 'covered by the run launched for src_group ''' || acting || ''''
+            else 'would ' || case when len(waits) > 0 then 'wait for ' || array_to_string(waits, '; ')
+                || ', re-check the sources, then ' else '' end || lower(action) || ' ' || entity_type || ' id=' || entity_id
+              || case when reason = '' and len(notes) = 0 then ''
+                else ' (' || concat_ws('; ', nullif(reason, ''), nullif(array_to_string(notes, '; '), '')) || ')' end end
+        from acted_rows""",
+}
+STEPS |= {f"launched_{here}": f"""
+        select entity from launched_{before}
+        union all
+        select distinct p.key from planned p join plan_levels l on l.entity = p.key and l.level = {level}
+        where not exists (select 1 from row_upstreams u where u.hands_off and u.key = p.key and u.src_group = p.src_group)
+          and not exists (select 1 from ({UNCOVERED.format(launched='launched_' + before)}) x
+            where x.hands_off and x.key = p.key and x.src_group = p.src_group)"""
+          for level, (before, here) in enumerate(zip(["none", *LAUNCH_LEVELS], LAUNCH_LEVELS))}
+STEPS["launched"] = f"select entity from launched_{LAUNCH_LEVELS[-1]}"
+
 STATUS = """entity_name, entity_type, src_group, table_name, window_mins, producer_type, producer_id, last_write_ms,
     operation, success_ms, signal, cutoff_ms, refreshed_at_ms, data_refreshed_at_ms, is_fresh, basis,
     met_without_row_changes"""
@@ -475,20 +623,17 @@ RESULTS = {
     "entity_edges": """
         select entity, upstream, array_to_string(list_sort(list(distinct table_name)), ',') as tables
         from dependencies group by all""",
-    "running_producers": """
-        select m.table_name, m.pipeline_id, u.update_id, u.cause from table_meta m
-        join pipelines p on p.pipeline_id = m.pipeline_id and not p.continuous
-          and p.state in ('RUNNING', 'STARTING', 'DEPLOYING', 'RESETTING')
-        join (select *, row_number() over (partition by pipeline_id order by creation_ms desc, update_id desc) as n
-              from pipeline_updates where state not in ('COMPLETED', 'FAILED', 'CANCELED')) u
-          on u.pipeline_id = m.pipeline_id and u.n = 1""",
+    "running_producers": "select * from running_now",
     "launch_task_params": f"""
         select job_id, {csv("list_transform(string_split(substr(tables, 14), ','), lambda t: trim(t))")} as tables,
           covers, contains(dry, '{{{{') or lower(substr(dry, 11)) in ('true', '1', 'yes') as dry_run from params""",
-    "jobs_running_pipelines": """
-        select pipeline_id, cast(arg_max(job_id, row(start_ms, run_id)) as string) as job_id from active_tasks
-        where life_cycle_state in ('PENDING', 'QUEUED', 'RUNNING', 'BLOCKED', 'WAITING_FOR_RETRY') group by 1""",
+    "jobs_running_pipelines": "select * from pipeline_jobs",
     "upstream_levels": "select entity, cast(max(level) as integer) as level from paths group by 1",
+    "launch_plan": """
+        select *, rpad(status, cast(greatest(19, len(status)) as integer), ' ') || ' ' || rpad(entity_type, cast(greatest(8, len(entity_type)) as integer), ' ')
+          || ' ' || entity_name || ' [' || src_group || ']: ' || detail as line from launch_rows""",
+    "plan_summary": """
+        select status, count(*) as n_rows, status in ('FAILED', 'NOT_FOUND') as fails from launch_rows group by 1""",
     "consecutive_failures": """
         select entity_name, count(*) as n_failed, min(ts_ms) as first_ms, max(ts_ms) as last_ms
         from streaks where result <> 'SUCCESS' group by entity_name, streak having count(*) >= 4""",
