@@ -5,14 +5,19 @@ of its chunks in a row. A chunk is encoded once and then remembered; natural tex
 """
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 ODD_SPACE = re.compile(r" (?:(?<=\s )|(?=\s))")  # a space beside another blank
-REMEMBERED = 300_000  # chunks kept by a worker; beyond that, the memory starts anew
+REMEMBERED = 600_000  # chunks kept by a worker; beyond that, the memory starts anew
 LONGEST_REMEMBERED = 48
+MARKS = ".,;:!?"
+#: Byte-level tokenizer files name a byte by its own character if that is visible, else by the next one from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: b for b in VISIBLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 
 
 class Encoder:
@@ -21,11 +26,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
+        self.model = self.tokenizer.model
+        self.mark_ids = dict(zip(MARKS, self._ids(list(MARKS))))
         self.known: dict[str, bytes] = {}  # of chunks that follow a space, which their ids include
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word of letters, which is one pre-token: the merges of the model alone."""
+        named = f" {word}".encode().decode("latin-1").translate(BYTE_NAMES)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        other = []
+        for chunk in chunks:
+            if chunk.isalpha():
+                self.known[chunk] = self._word(chunk)
+            elif chunk[-1] in self.mark_ids and chunk[:-1].isalpha():
+                word = chunk[:-1]
+                if word not in self.known:
+                    self.known[word] = self._word(word)
+                self.known[chunk] = self.known[word] + self.mark_ids[chunk[-1]]
+            else:
+                other.append(chunk)
+        self.known.update(zip(other, self._ids([f" {c}" for c in other])))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         chunks = [[t] if t[:1] == " " or t[-1:] == " " or ODD_SPACE.search(t) else t.split(" ") for t in texts]
@@ -34,7 +60,7 @@ class Encoder:
         missing = list(later.difference(self.known))
         if len(self.known) + len(missing) > REMEMBERED:
             self.known, missing = {}, list(later)
-        self.known.update(zip(missing, self._ids([f" {c}" for c in missing])))
+        self._learn(missing)
         known = self.known.__getitem__
         found = [np.frombuffer(b"".join([start, *map(known, own[1:])]), "<u4") for start, own in zip(first, chunks)]
         for chunk in missing:
