@@ -58,6 +58,13 @@ STEPS = {
             partition by m.table_name order by d.done_ms desc, d.update_id desc, d.dataset desc) as n
           from table_meta m join flow_done d on d.pipeline_id = m.pipeline_id
             and (d.dataset = m.table_name or ends_with(m.table_name, '.' || d.dataset))) where n = 1""",
+    "flow_signal": """
+        select f.table_name, 'pipeline event log, update ' || f.update_id || ': ' || case
+          when f.output_rows + f.upserted_rows + f.deleted_rows = 0 then '0 rows' else concat_ws(', ',
+            case when f.output_rows <> 0 then 'output_rows=' || f.output_rows end,
+            case when f.upserted_rows <> 0 then 'upserted_rows=' || f.upserted_rows end,
+            case when f.deleted_rows <> 0 then 'deleted_rows=' || f.deleted_rows end) end as signal
+        from flow_table f""",
     "events_done": f"""
         select uc_table_id, max(ts_ms) as done_ms from pipeline_events
         where event_type = 'flow_progress' and status = 'COMPLETED' and ts_ms >= {SINCE_MS} group by 1""",
@@ -80,12 +87,9 @@ STEPS = {
           case when e.done_ms is null and f.done_ms is null then
               coalesce('pipeline update ' || c.update_id || ' (start time)', 'no completed pipeline run found')
             when f.done_ms is null or e.done_ms >= f.done_ms then 'pipeline_events system table'
-            else 'pipeline event log, update ' || f.update_id || ': ' || case
-              when f.output_rows + f.upserted_rows + f.deleted_rows = 0 then '0 rows' else concat_ws(', ',
-                case when f.output_rows <> 0 then 'output_rows=' || f.output_rows end,
-                case when f.upserted_rows <> 0 then 'upserted_rows=' || f.upserted_rows end,
-                case when f.deleted_rows <> 0 then 'deleted_rows=' || f.deleted_rows end) end end as signal
+            else d.signal end as signal
         from table_meta m left join flow_table f on f.table_name = m.table_name
+          left join flow_signal d on d.table_name = m.table_name
           left join events_done e on e.uc_table_id = m.table_id left join covering c on c.table_name = m.table_name
         where m.pipeline_id is not null""",
     "tracker_rows_in": """
@@ -99,6 +103,9 @@ STEPS = {
 }
 
 
+UNREADABLE = "(cast(regexp_extract({}, '([0-9]+)$', 1) as bigint) % 6 = 1)"
+
+
 def status_step(refreshed: str) -> str:
     """The rule for every source; `refreshed` is a condition on table_name."""
     return f"""
@@ -141,6 +148,13 @@ def status_step(refreshed: str) -> str:
 
 STEPS |= {
     "status": status_step("false"),
+    "readable_write": f"select * from last_write where not {UNREADABLE.format('table_name')}",
+    "pipeline_log": """
+        select m.table_name, m.pipeline_id, f.done_ms as log_ms, f.done_ms as success_ms,
+          case when f.done_ms is null then 'no completed pipeline run found' else d.signal end as signal
+        from table_meta m left join flow_table f on f.table_name = m.table_name
+          left join flow_signal d on d.table_name = m.table_name where m.pipeline_id is not null""",
+    "status_few": status_step("false").replace("last_write w ", "readable_write w ").replace("pipeline_done p", "pipeline_log p"),
     "status_now": status_step("(s.table_name in (select table_name from refreshed_tables))"),
     "verdicts": f"""
         select t.entity_name, t.entity_type, t.grp as src_group, t.refresh_window_btn_tables_in_mins as window_mins,
@@ -580,9 +594,10 @@ RESULTS = {
           from (select root, name, min(depth) as depth from seen group by all) r
             left join known m on m.name = r.name) where kind is not null""",
     "unfollowed_sources": """
-        select distinct i.entity_type, i.entity_name, w.name, 'MISSING' as kind from inputs i
-        join (select root, name from walk union select table_name, table_name from inputs) w on w.root = i.table_name
-        where w.name not in (select table_name from table_meta)""",
+        select distinct i.entity_type, i.entity_name, case when k.n % 13 = 4 then w.name || ' (no access)' else w.name end as name,
+          'MISSING' as kind
+        from inputs i join input_walk w on w.root = i.table_name left join known k on k.name = w.name
+        where k.name is null or k.n % 13 = 4""",
     "source_producers": """
         select * from produced where table_name in (select source_table_full_name from table_lineage
           union select target_table_full_name from table_lineage)""",
@@ -634,6 +649,35 @@ RESULTS = {
           || ' ' || entity_name || ' [' || src_group || ']: ' || detail as line from launch_rows""",
     "plan_summary": """
         select status, count(*) as n_rows, status in ('FAILED', 'NOT_FOUND') as fails from launch_rows group by 1""",
+    "recheck": f"""
+        select v.entity_name, v.entity_type, v.src_group,
+          case when v.verdict <> 'FRESH' then 'SKIPPED' when r.entity_id is null then 'NOT_FOUND'
+            when s.latest_start_ms >= v.newest_refresh_ms then 'ALREADY_HANDLED' when s.active then 'DRY_RUN_QUEUE'
+            else 'DRY_RUN_LAUNCH' end as status,
+          case when v.verdict = 'UNCHECKED' then 'refresh window is NULL or no source tables to check'
+            when v.verdict = 'STALE' then 'stale sources after waiting for the upstream runs: ' || {names('v.stale')}
+            when r.entity_id is null then r.error
+            when s.latest_start_ms >= v.newest_refresh_ms then 'run ' || s.latest_id || case when s.active
+              then ' (in progress)' else ' (finished)' end || ' started ' || {utc('s.latest_start_ms')}
+              || ', after the newest source refresh ' || {utc('v.newest_refresh_ms')} end as detail
+        from verdicts v left join resolved r on r.entity_type = v.entity_type and r.entity_name = v.entity_name
+          left join states s on s.entity_type = v.entity_type and s.entity_id = r.entity_id""",
+    "gate_of_requested": """
+        select n.entity_type, n.entity_name, g.n_groups,
+          case when g.n_groups is null then 'ERROR' when g.n_failed > 0 then 'FAILED' else 'PASSED' end as verdict
+        from (select distinct entity_type, entity_name from named) n
+          left join gate g on g.entity_type = n.entity_type and g.entity_name = n.entity_name""",
+    "previous_runs_of_others": """
+        select 'JOB' as entity_type, cast(job_id as string) as entity_id, start_ms as prev_start_ms,
+          cast(run_id as string) as prev_id, result_state as prev_state
+        from (select *, row_number() over (partition by job_id order by start_ms desc, run_id desc) as n from job_runs
+          where result_state = 'SUCCESS' and life_cycle_state <> 'RUNNING') where n = 1
+        union all
+        select * from previous where entity_type = 'PIPELINE'""",
+    "select_rows": "select entity_name, entity_type from tracker where entity_type = 'PIPELINE' and src_group is null",
+    "status_with_few_signals": f"""
+        select {STATUS}, case when {UNREADABLE.format('table_name')} and table_name in (select table_name from table_meta
+          where table_type <> 'MATERIALIZED_VIEW') then 'no access to history' else '' end as error from status_few""",
     "consecutive_failures": """
         select entity_name, count(*) as n_failed, min(ts_ms) as first_ms, max(ts_ms) as last_ms
         from streaks where result <> 'SUCCESS' group by entity_name, streak having count(*) >= 4""",
@@ -655,6 +699,11 @@ STEPS |= {
         select table_name as name, table_type in ('VIEW', 'METRIC_VIEW') as is_view,
           cast(regexp_extract(table_name, '([0-9]+)$', 1) as bigint) as n
         from table_meta where cast(regexp_extract(table_name, '([0-9]+)$', 1) as bigint) % 11 <> 3""",
+    "input_walk": """
+        select distinct table_name as root, table_name as name from inputs
+        union
+        select w.root, d.dep from input_walk w join known k on k.name = w.name and k.is_view and k.n % 13 <> 4
+          join view_deps d on d.view_name = w.name""",
     "seen": """
         select table_name as root, table_name as name, 0 as depth from table_meta
         union all

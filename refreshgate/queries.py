@@ -135,24 +135,24 @@ def impacted_rows(run: Run) -> DataFrame:
 
 
 def flow_last_completed(run: Run) -> DataFrame:
-    done = sig.dataset_completion(run.fx.parsed_flow_definitions, run.fx.parsed_flow_progress)
+    done = sig.dataset_completion(run.fx.flow_definitions, run.fx.flow_progress)
     return done.select("pipeline_id", "dataset", "done_ms", "update_id")
 
 
 def update_row_counts(run: Run) -> DataFrame:
-    done = sig.dataset_completion(run.fx.parsed_flow_definitions, run.fx.parsed_flow_progress)
+    done = sig.dataset_completion(run.fx.flow_definitions, run.fx.flow_progress)
     return done.select("pipeline_id", "dataset", "update_id", "output_rows", "upserted_rows", "deleted_rows")
 
 
 def dataset_suffix_match(run: Run) -> DataFrame:
     owned = sig.owned_by_pipeline(run.fx.table_meta)
-    datasets = run.fx.parsed_flow_definitions.select("pipeline_id", "dataset").distinct()
+    datasets = run.fx.flow_definitions.select("pipeline_id", "dataset").distinct()
     return sig.dataset_matches(owned, datasets).select("table_name", "pipeline_id", "dataset")
 
 
 def events_last_completed(run: Run) -> DataFrame:
     meta = run.fx.table_meta.select("table_name", F.col("table_id").alias("uc_table_id"))
-    return sig.events_completion(run.fx.parsed_pipeline_events).join(meta, "uc_table_id").select("table_name", "done_ms")
+    return sig.events_completion(run.fx.pipeline_events).join(meta, "uc_table_id").select("table_name", "done_ms")
 
 
 def job_last_success(run: Run) -> DataFrame:
@@ -270,12 +270,13 @@ def missing_and_unresolved(run: Run) -> DataFrame:
 
 
 def unfollowed_sources(run: Run) -> DataFrame:
-    return lineage.unfollowed_sources(run.lineage.expanded)
+    """Over metadata in which some tables are missing or closed."""
+    return lineage.unfollowed_sources(lineage.expanded_inputs(run.lineage.inputs, run.fx.partial_meta, run.fx.view_deps))
 
 
 def source_producers(run: Run) -> DataFrame:
     tables = run.fx.table_lineage.select(F.col("source_table_full_name").alias("table_name")).union(
-        run.fx.table_lineage.select("target_table_full_name")).distinct()
+        run.fx.table_lineage.select("target_table_full_name")).distinct().where(~lineage.is_bookkeeping(F.col("table_name")))
     return lineage.source_producers(tables, run.fx.table_lineage, run.fx.table_meta)
 
 
@@ -350,6 +351,36 @@ def plan_summary(run: Run) -> DataFrame:
     return launch.plan_summary(run.plan)
 
 
+def recheck(run: Run) -> DataFrame:
+    return launch.recheck(run.groups.join(run.resolved.select("entity_type", "entity_name"), ["entity_type", "entity_name"], "left_semi"),
+                          run.resolved, run.states).select("entity_name", "entity_type", "src_group", "status", "detail")
+
+
+def gate_of_requested(run: Run) -> DataFrame:
+    """Every named job and pipeline, with or without a tracker row."""
+    named = runs.named_entities(run.fx.jobs, run.fx.pipelines)
+    return gates.entity_gate(run.groups, named).select("entity_type", "entity_name", "n_groups", "verdict")
+
+
+def previous_runs_of_others(run: Run) -> DataFrame:
+    """As each running run sees it: without itself and the others that run."""
+    asking = run.fx.job_runs.where(F.col("life_cycle_state") == "RUNNING").select("job_id", "run_id")
+    return runs.previous_runs(run.fx.job_runs, run.fx.pipeline_updates, asking)
+
+
+def select_rows(run: Run) -> DataFrame:
+    return tracker_ops.select_rows(run.fx.tracker, "PIPELINE", src_group="default").select("entity_name", "entity_type")
+
+
+def status_with_few_signals(run: Run) -> DataFrame:
+    """Without the events table and updates, and with histories that cannot be read."""
+    fx = run.fx
+    signals = freshness.gather_signals(fx.table_meta, fx.table_history, fx.flow_definitions, fx.flow_progress, fx.job_runs,
+                                       scan_errors=fx.scan_errors, tracker=fx.tracker)
+    return freshness.source_status(fx.tracker, signals, NOW_MS).where("checked").select(
+        *STATUS_COLUMNS, F.coalesce("error", F.lit("")).alias("error"))
+
+
 def consecutive_failures(run: Run) -> DataFrame:
     return monitor.consecutive_failures(run.fx.check_ticks, FAILURE_STREAK)
 
@@ -389,4 +420,5 @@ QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
     run_state, decide, resolve_name, name_matches, owned_tables, target_counts, latest_write_edges, final_targets,
     external_inputs, view_expansion, missing_and_unresolved, unfollowed_sources, source_producers, tracker_rows, tracker_upsert, tracker_edits,
     tracker_validate, entity_edges, running_producers, launch_task_params, jobs_running_pipelines, upstream_levels,
-    launch_plan, plan_summary, consecutive_failures, no_success_for, refresh_gaps, stream_refresh_state)
+    launch_plan, plan_summary, recheck, gate_of_requested, previous_runs_of_others, select_rows, status_with_few_signals,
+    consecutive_failures, no_success_for, refresh_gaps, stream_refresh_state)

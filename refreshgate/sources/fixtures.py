@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from refreshgate.functions.names import group_name
+from refreshgate.functions.times import MS_PER_DAY, utc_text
 from refreshgate.sources import platform
 
 NOW_MS = 1706659200000   # 2024-01-31 00:00 UTC
@@ -178,7 +179,15 @@ class Fixtures:
 
     @cached_property
     def table_history(self) -> DataFrame:
-        return self.view("table_history")
+        raw = self.view("table_history").select("table_name", "version", F.timestamp_millis("ts_ms").alias("timestamp"), "operation",
+                                                F.col("operation_metrics").alias("operationMetrics"))
+        return platform.table_history(raw)
+
+    @cached_property
+    def scan_errors(self) -> DataFrame:
+        """Every sixth table's history cannot be read."""
+        number = F.regexp_extract("table_name", r"(\d+)$", 1).cast("bigint")
+        return self.view("table_meta").where(number % 6 == 1).select("table_name", F.lit("no access to history").alias("error"))
 
     @cached_property
     def raw_pipeline_events(self) -> DataFrame:
@@ -188,14 +197,9 @@ class Fixtures:
             F.timestamp_millis("ts_ms").alias("event_time"), "event_type",
             F.struct("uc_table_id").alias("origin"), F.parse_json(F.to_json(status)).alias("details"))
 
-    @cached_property
-    def parsed_pipeline_events(self) -> DataFrame:
-        return platform.pipeline_events(self.raw_pipeline_events, self.since_ms)
-
     @cached_property
     def pipeline_events(self) -> DataFrame:
-        """The same relation without the detour over VARIANT."""
-        return self.view("pipeline_events").where(F.col("ts_ms") >= self.since_ms)
+        return platform.pipeline_events(self.raw_pipeline_events, self.since_ms)
 
     @cached_property
     def event_log(self) -> DataFrame:
@@ -214,21 +218,13 @@ class Fixtures:
             F.to_json(F.struct(F.struct("status", metrics.alias("metrics")).alias("flow_progress"))).alias("details"))
         return flows.unionByName(progress).withColumn("details", F.parse_json("details"))
 
-    @cached_property
-    def parsed_flow_definitions(self) -> DataFrame:
-        return platform.flow_definitions(self.event_log)
-
-    @cached_property
-    def parsed_flow_progress(self) -> DataFrame:
-        return platform.flow_progress(self.event_log, self.since_ms)
-
     @cached_property
     def flow_definitions(self) -> DataFrame:
-        return self.view("flow_definitions")
+        return platform.flow_definitions(self.event_log)
 
     @cached_property
     def flow_progress(self) -> DataFrame:
-        return self.view("flow_progress").where(F.col("ts_ms") >= self.since_ms)
+        return platform.flow_progress(self.event_log, self.since_ms)
 
     @cached_property
     def job_runs(self) -> DataFrame:
@@ -236,7 +232,11 @@ class Fixtures:
 
     @cached_property
     def pipeline_updates(self) -> DataFrame:
-        return self.view("pipeline_updates").withColumn("full_refresh_selection", F.lit(None).cast("array<string>"))
+        """With creation times as ISO text, as the platform lists them."""
+        raw = self.view("pipeline_updates").withColumn(
+            "creation_time", F.concat(F.substring_index(utc_text(F.col("creation_ms")), " UTC", 1), F.lit("Z")))
+        return platform.pipeline_updates(raw.drop("creation_ms")).withColumn(
+            "full_refresh_selection", F.lit(None).cast("array<string>"))
 
     @cached_property
     def pipelines(self) -> DataFrame:
@@ -255,17 +255,34 @@ class Fixtures:
         launch_tasks = self.view("launch_tasks").select(
             "job_id", F.lit("launch").alias("task_key"), F.lit(None).cast("string").alias("pipeline_id"),
             F.lit("tasks/launch_downstream.py").alias("python_file"), "parameters")
-        return pipeline_tasks.unionByName(launch_tasks)
+        tasks = pipeline_tasks.unionByName(launch_tasks)
+        nested = F.collect_list(F.struct("task_key", "pipeline_id", "python_file", "parameters")).alias("tasks")
+        return platform.job_tasks(tasks.groupBy("job_id").agg(nested))
 
     @cached_property
     def active_tasks(self) -> DataFrame:
-        return self.view("active_tasks")
+        """Of active runs with a list of tasks, one of which runs no pipeline."""
+        other = F.struct(F.lit(None).cast("string").alias("pipeline_id"), F.lit("RUNNING").alias("life_cycle_state"))
+        return platform.active_tasks(self.view("active_tasks").select(
+            "job_id", "run_id", "start_ms", F.array(F.struct("pipeline_id", "life_cycle_state"), other).alias("tasks")))
 
     @cached_property
     def table_lineage(self) -> DataFrame:
-        rows = self.view("table_lineage")
-        return rows.select(F.lit("w-1").alias("workspace_id"), "*",
-                           F.timestamp_millis("ts_ms").cast("date").alias("event_date"))
+        """Read for one workspace and 90 days, from a table that also holds another workspace, older days, a pipeline's
+        bookkeeping tables and self-edges."""
+        def day(ms):
+            return F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast({ms} div {MS_PER_DAY} as int)"))
+
+        rows = self.view("table_lineage").select(F.lit("w-1").alias("workspace_id"), "*", day("ts_ms").alias("event_date"))
+        some = rows.where(F.col("source_table_full_name").endswith("7"))
+        elsewhere = some.withColumns({"workspace_id": F.lit("w-2"), "target_table_full_name": F.lit("main.demo.t1")})
+        earlier = some.withColumns({"ts_ms": F.col("ts_ms") - 200 * MS_PER_DAY, "event_date": day(f"(ts_ms - {200 * MS_PER_DAY})"),
+                                    "source_table_full_name": F.lit("main.demo.old")})
+        own = some.where(F.col("entity_type") == "PIPELINE")
+        bookkeeping = own.withColumn("target_table_full_name", F.lit("main.demo.__materialization_x"))
+        loops = own.withColumn("source_table_full_name", F.col("target_table_full_name"))
+        raw = rows.unionByName(elsewhere).unionByName(earlier).unionByName(bookkeeping).unionByName(loops)
+        return platform.table_lineage(raw, NOW_MS, lookback_days=90, workspace_id="w-1")
 
     @cached_property
     def view_deps(self) -> DataFrame:
