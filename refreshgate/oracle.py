@@ -646,7 +646,8 @@ RESULTS = {
     "upstream_levels": "select entity, cast(max(level) as integer) as level from paths group by 1",
     "launch_plan": """
         select *, rpad(status, cast(greatest(19, len(status)) as integer), ' ') || ' ' || rpad(entity_type, cast(greatest(8, len(entity_type)) as integer), ' ')
-          || ' ' || entity_name || ' [' || src_group || ']: ' || detail as line from launch_rows""",
+          || ' ' || entity_name || ' [' || src_group || ']: ' || detail as line,
+          row_number() over (order by level nulls last, entity_type, entity_name, src_group) as position from launch_rows""",
     "plan_summary": """
         select status, count(*) as n_rows, status in ('FAILED', 'NOT_FOUND') as fails from launch_rows group by 1""",
     "recheck": f"""

@@ -1,7 +1,7 @@
 """The dry-run launch plan: what would be launched for a set of refreshed tables, in which order, and why not."""
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from refreshgate.functions.names import entity_key, list_text, name_list, option_value, truthy
 from refreshgate.operators import freshness, gates, runs, signals as sig, tracker as tracker_ops
@@ -255,6 +255,23 @@ def launch_plan(tracker: DataFrame, refreshed: DataFrame, signals: freshness.Sig
     return settled.select(*columns).unionByName(acted.select(*columns))
 
 
+def with_position(plan: DataFrame) -> DataFrame:
+    """`plan` with `position` from 1: upstream first, rows without a level last, then by type, name and group.
+
+    Rows are sorted in ranges; a row's position is its place in its range and the number of rows in earlier ranges, so
+    the rows are never in one task.
+    """
+    order = [F.col("level").asc_nulls_last(), "entity_type", "entity_name", "src_group", "status", "detail"]
+    ranged = cut_lineage(plan.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_range"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    earlier = ranged.groupBy("_range").agg(F.count("*").alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_earlier"))
+    return ranged.join(earlier, "_range").withColumn("position", F.col("_earlier") + F.col("_place") + 1).drop(
+        "_range", "_place", "_earlier")
+
+
 def recheck(groups: DataFrame, resolved: DataFrame, states: DataFrame) -> DataFrame:
     """Rows that waited, looked at again on a newer snapshot: SKIPPED if stale by now, ALREADY_HANDLED if a run
     already includes the data, else the action that is due."""

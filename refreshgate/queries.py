@@ -344,7 +344,7 @@ def upstream_levels(run: Run) -> DataFrame:
 
 
 def launch_plan(run: Run) -> DataFrame:
-    return launch.summary_lines(run.plan)
+    return launch.with_position(launch.summary_lines(run.plan))
 
 
 def plan_summary(run: Run) -> DataFrame:
