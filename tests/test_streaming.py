@@ -38,3 +38,14 @@ def test_completions(spark, tmp_path):
         events = spark.readStream.schema(schemas.PIPELINE_EVENTS).parquet(source)
         rs.track_completions(events, f"{tmp_path}/state", f"{tmp_path}/cp", availableNow=True).awaitTermination()
     assert records(rs.read_completions(spark, f"{tmp_path}/state")) == [("x", 5), ("y", 7)]
+
+
+def test_folders_stay_bounded(spark, tmp_path):
+    for n in range(14):
+        relation(spark, schemas.PIPELINE_EVENTS, [(f"t{n % 3}", "flow_progress", "COMPLETED", n)]).coalesce(1).write.parquet(f"{tmp_path}/in/n={n:02d}")
+    events = spark.readStream.schema(schemas.PIPELINE_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    state = tmp_path / "state"
+    rs.track_completions(events, str(state), f"{tmp_path}/cp", compact_every=3, availableNow=True).awaitTermination()
+    assert records(rs.read_completions(spark, str(state))) == [("t0", 12), ("t1", 13), ("t2", 11)]
+    folders = {kind: sorted(p.name for p in (state / kind).iterdir() if p.is_dir()) for kind in ("changes", "snapshots", "heads")}
+    assert folders == {"changes": ["batch=10", "batch=11", "batch=12", "batch=13"], "snapshots": ["upto=12", "upto=9"], "heads": ["upto=12", "upto=9"]}
