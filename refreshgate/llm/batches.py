@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from refreshgate.session import share_code
 
-SLICE_BYTES = 4 << 20  # text handled at once by the vectorised parts of a task, whatever the batch size
+SLICE_BYTES = 1 << 20  # text handled at once by the vectorised parts of a task, whatever the batch size
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
