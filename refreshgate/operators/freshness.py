@@ -11,6 +11,7 @@ from refreshgate.functions.names import group_name, without
 from refreshgate.functions.times import age_text, minutes_before, utc_text
 from refreshgate.operators import signals as sig
 
+# fixed values: this text and those of `basis` and `status_text`
 REFRESHED_NOW = "refreshed by calling upstream job"
 ROW_KEY = ("entity_name", "entity_type", "src_group", "row_id")
 _LINE_BREAK = "\n          "

@@ -5,6 +5,7 @@ from refreshgate.functions.names import list_text
 from refreshgate.functions.times import utc_text
 from refreshgate.operators.freshness import ROW_KEY
 
+# fixed values: this text and those of `failure_line`, `entity_gate` and `gate_lines`
 UNCHECKABLE = "refresh window is NULL or no source tables to check"
 
 

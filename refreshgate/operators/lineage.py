@@ -259,6 +259,7 @@ def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame,
         rows = rows.withColumn("unknown", F.lit(None).cast("array<string>"))
     else:
         rows = rows.join(unknown, group, "left")
+    # fixed values: the error texts
     label = F.concat(F.col("entity_type"), F.lit(" '"), F.col("entity_name"), F.lit("'"))
     error = (F.when(F.col("entity_id").isNull(), F.coalesce(F.col("name_error"), F.concat(label, F.lit(" not resolved"))))
              .when(F.col("has_pipelines").isNull(), F.concat(label, F.lit(" has no pipeline tasks — nothing to track.")))

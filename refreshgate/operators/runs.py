@@ -86,6 +86,7 @@ def _action() -> Column:
 
 
 def _reason() -> Column:
+    # fixed values: the texts, here and in `resolve_names` and `already_processed`
     run = F.concat(F.lit("run "), F.coalesce("latest_id", F.lit("None")))
     refresh = utc_text(F.col("newest_refresh_ms"))
     started = utc_text(F.col("latest_start_ms"))

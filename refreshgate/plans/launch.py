@@ -11,6 +11,7 @@ from refreshgate.session import cut_lineage
 # fixed values: states of a task that is still going to run, and statuses that fail a launch
 ACTIVE_TASK_STATES = ("PENDING", "QUEUED", "RUNNING", "BLOCKED", "WAITING_FOR_RETRY")
 FAILING = ("FAILED", "NOT_FOUND")
+# fixed values as well: the texts of details, handoffs, waits and notes in this module
 WAITING = "WAITING_ON_UPSTREAM"
 ROW = ["entity_key", "src_group", "row_id"]
 
