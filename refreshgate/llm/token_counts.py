@@ -4,7 +4,10 @@ A token file is the ids of one document after another as little-endian integers
 Files are scanned in blocks: a vectorised search finds the end ids, and a block reports the tokens before its first end,
 between ends, and after its last. A prefix scan over the blocks of a file gives each block the number of documents
 before it and the position after the last end before it, which stitches documents that run over block boundaries.
+
+Files may be gzip-compressed; they are then unpacked block by block.
 """
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     Special tokens in a text count as ordinary text, so that `end_id` stands only at ends. `docs` is read twice and must
     give the same rows in the same order, as a table of files does. A NULL text is written as an empty document.
-    The text sink writes the bytes as they are, with the end id's bytes as its row separator.
+    The text sink writes the bytes as they are, with the end id's bytes as its row separator, and compresses the files.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, True).encode
@@ -38,18 +41,38 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows = id_and_text(docs)
     separator = end_id.to_bytes(width, "little").decode("latin-1")
     map_batches(rows.select("text"), run, "ids binary").select(F.col("ids").cast("string")).write.option(
-        "encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+        "encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").text(path)
     return rows.select("doc_id", F.spark_partition_id().alias("shard"),
                        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
 
 
+def pieces(content: memoryview, packed: bool, size: int) -> Iterator[bytes | memoryview]:
+    """The bytes of a file, unpacked if need be, `size` at a time; one empty piece for an empty file."""
+    if not packed:
+        yield from (content[start:start + size] for start in range(0, max(1, len(content)), size))
+        return
+    engine, rest, held, any_sent = zlib.decompressobj(31), content, b"", False
+    while rest or not engine.eof:
+        part = engine.decompress(rest, size - len(held))
+        held, rest = held + part, engine.unconsumed_tail
+        if engine.eof:
+            rest = engine.unused_data
+            engine = zlib.decompressobj(31) if rest else engine
+        elif not part and not rest:
+            raise ValueError("a compressed token file ends early")
+        if len(held) == size:
+            yield held
+            held, any_sent = b"", True
+    if held or not any_sent:
+        yield held
+
+
 def _blocks(end_id: int, width: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, file, content in zip(*batch.columns):
-                ids = np.frombuffer(content.as_buffer(), f"<u{width}")
-                for number, start in enumerate(range(0, max(1, len(ids)), block_tokens)):
-                    block = ids[start:start + block_tokens]
+            for shard, file, packed, content in zip(*batch.columns):
+                for number, data in enumerate(pieces(memoryview(content.as_buffer()), packed.as_py(), block_tokens * width)):
+                    block = np.frombuffer(data, f"<u{width}")
                     ends = np.flatnonzero(block == end_id)
                     head, after = (int(ends[0]), int(ends[-1]) + 1) if len(ends) else (len(block), 0)
                     yield pa.RecordBatch.from_arrays([
@@ -70,7 +93,8 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, width: in
     name = F.substring_index("path", "/", -1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
         F.regexp_extract(name, r"^part-(\d+)", 1).cast("int").alias("shard"),
-        F.coalesce(F.expr("try_cast(regexp_extract(path, '-c([0-9]+)[^/]*$', 1) AS INT)"), F.lit(0)).alias("file"), "content")
+        F.coalesce(F.expr("try_cast(regexp_extract(path, '-c([0-9]+)[^/]*$', 1) AS INT)"), F.lit(0)).alias("file"),
+        F.col("path").endswith(".gz").alias("packed"), "content")
     blocks = map_batches(files, _blocks(end_id, width, block_tokens), "shard int, file int, block int, tokens long, ends long, "
                          "head long, after long, inner array<long>")
     order = Window.partitionBy("shard").orderBy("file", "block")

@@ -1,3 +1,5 @@
+import gzip
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -10,8 +12,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("block_tokens", [1, 3, 7, 1000])
-@pytest.mark.parametrize("width", [2, 4])
-def test_blocks_are_stitched(spark, tmp_path, block_tokens, width):
+@pytest.mark.parametrize("width, packed", [(2, False), (4, False), (2, True)])
+def test_blocks_are_stitched(spark, tmp_path, block_tokens, width, packed):
     rng, want = np.random.default_rng(1), []
     for shard in range(3):
         docs = [rng.integers(0, 50000, rng.integers(0, 25)) for _ in range(30)]
@@ -21,7 +23,9 @@ def test_blocks_are_stitched(spark, tmp_path, block_tokens, width):
             if shard == 1 and number == 1:
                 data += np.arange(5, dtype=f"<u{width}").tobytes()
                 docs.append(np.arange(5))
-            (tmp_path / f"part-0000{shard}-x-c00{number}.txt").write_bytes(data)
+            if packed:  # as two members, the first of which ends anywhere
+                data = gzip.compress(data[:len(data) // 3]) + gzip.compress(data[len(data) // 3:])
+            (tmp_path / f"part-0000{shard}-x-c00{number}.txt{'.gz' * packed}").write_bytes(data)
         want += [(shard, k, len(d)) for k, d in enumerate(docs)]
     (tmp_path / "part-00007-x-c000.txt").write_bytes(b"")
     found = token_counts.count_tokens(spark, str(tmp_path), width=width, block_tokens=block_tokens)
@@ -38,3 +42,9 @@ def test_documents(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     nothing(spark).write.parquet(str(tmp_path / "none"))
     assert token_counts.document_counts(spark.read.parquet(str(tmp_path / "none")), str(tmp_path / "no-tokens"), PATH).count() == 0
+
+
+def test_a_compressed_file_that_ends_early(spark, tmp_path):
+    (tmp_path / "part-00000-x-c000.txt.gz").write_bytes(gzip.compress(bytes(range(256)) * 40)[:-20])
+    with pytest.raises(Exception, match="ends early"):
+        token_counts.count_tokens(spark, str(tmp_path)).count()
