@@ -82,20 +82,28 @@ def line_features(text: str) -> tuple[list[list[float]], list[int]]:
 
 
 def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines: int) -> list[tuple[int, np.ndarray]]:
-    """(quality, line features) of a sample of labelled documents: `max_docs` by hash of the id, `max_lines` of each."""
+    """(quality, features of the first `max_lines` lines) of a sample of labelled documents.
+
+    Ids are chosen by their hash; a row that repeats an id and its text counts once. Of the rows, `max_docs` by a hash of
+    id and text, whatever their label.
+    """
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
 
     def run(batches):
         for batch in batches:
-            made = [line_features(t or "")[0][:max_lines] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("quality"), pa.array([np.asarray(x, np.float32).tobytes() for x in made], pa.binary())],
-                ["quality", "features"])
-
-    rows = map_batches(id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("quality", "text"), run,
-                       "quality int, features binary").orderBy("quality", "features").limit(max_docs).collect()
-    return [(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES)).astype(float)) for r in rows]
+            for part in text_slices(batch):
+                made = [line_features(t or "")[0][:max_lines] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("doc_id", "mark", "quality")), pa.array([len(x) for x in made], pa.int64()),
+                     pa.array([np.asarray(x, np.float32).tobytes() for x in made], pa.binary())],
+                    ["doc_id", "mark", "quality", "n", "features"])
+
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "quality", "text")
+    made = map_batches(rows, run, "doc_id long, mark long, quality int, n long, features binary").dropDuplicates(["doc_id", "mark"])
+    order = [F.xxhash64("doc_id", "mark"), F.col("doc_id"), F.col("mark")]
+    taken = made.orderBy(*order).limit(max_docs).orderBy("quality", "features").select("quality", "features").collect()
+    return [(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES)).astype(float)) for r in taken]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 64) -> LineCrf:
