@@ -10,9 +10,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from refreshgate.llm.batches import id_and_text, map_batches, text_slices
+from refreshgate.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -82,10 +83,10 @@ def line_features(text: str) -> tuple[list[list[float]], list[int]]:
 
 
 def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines: int) -> list[tuple[int, np.ndarray]]:
-    """(quality, features of the first `max_lines` lines) of a sample of labelled documents.
+    """(quality, features of all lines) of a sample of labelled documents.
 
     Ids are chosen by their hash; a row that repeats an id and its text counts once. Of the rows, `max_docs` by a hash of
-    id and text, whatever their label.
+    id and text, whatever their label; of each label, whole texts in that order until they have half of `max_lines` lines.
     """
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -93,7 +94,7 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines:
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                made = [line_features(t or "")[0][:max_lines] for t in part.column("text").to_pylist()]
+                made = [line_features(t or "")[0] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("doc_id", "mark", "quality")), pa.array([len(x) for x in made], pa.int64()),
                      pa.array([np.asarray(x, np.float32).tobytes() for x in made], pa.binary())],
@@ -102,15 +103,19 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines:
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "quality", "text")
     made = map_batches(rows, run, "doc_id long, mark long, quality int, n long, features binary").dropDuplicates(["doc_id", "mark"])
     order = [F.xxhash64("doc_id", "mark"), F.col("doc_id"), F.col("mark")]
-    taken = made.orderBy(*order).limit(max_docs).orderBy("quality", "features").select("quality", "features").collect()
+    made = cut_lineage(made.orderBy(*order).limit(max_docs))
+    before = Window.partitionBy("quality").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    fit_in = made.drop("features").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(
+        F.col("before") < max_lines / 2).select("doc_id", "mark")
+    taken = made.join(F.broadcast(fit_in), ["doc_id", "mark"]).select("quality", "features").orderBy("quality", "features").collect()
     return [(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES)).astype(float)) for r in taken]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 64) -> LineCrf:
-    """Train on the first `max_lines` lines of at most `max_docs` labelled documents, all lines labelled as their document.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 200_000) -> LineCrf:
+    """Train on all lines of at most `max_docs` labelled documents, each line labelled as its document.
 
-    Both bounds are of the training sample alone; every line of every text is decoded. Without labelled lines, the CRF
-    calls every line content.
+    Documents are whole; there are fewer where they have more than `max_lines` lines together. Both bounds are of the
+    training sample alone; every line of every text is decoded. Without labelled lines, the CRF calls every line content.
     """
     return train([(q, x) for q, x in training_lines(docs, labels, max_docs, max_lines) if len(x)])
 
@@ -125,39 +130,36 @@ def train(samples: list[tuple[int, np.ndarray]], rounds: int = 80, rate: float =
     size = np.array([len(x) for _, x in samples])
     n, longest = len(size), int(size[0])
     label = np.array([int(q == 1) for q, _ in samples])
-    x = np.zeros((longest, n, len(FEATURES)))
-    for i, (_, rows) in enumerate(samples):
-        x[:len(rows), i] = rows
     live = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # sequences longer than t
+    first = np.concatenate(([0], np.cumsum(live)))  # where the lines of each step begin: those of a step stand together
+    x, owner = np.zeros((first[-1], len(FEATURES))), np.concatenate([np.arange(k) for k in live])
+    for i, (_, rows) in enumerate(samples):
+        x[first[:len(rows)] + i] = rows
+    later = np.arange(n, first[-1])  # lines with one before them
+    previous = later - np.repeat(live[:-1], live[1:]) if longest > 1 else later
     share = np.array([0.5 / max(1, (label == c).sum()) for c in (0, 1)])[label] / size  # both classes weigh the same
     speed = [np.zeros_like(p) for p in (weights, start, moves)]
     for _ in range(rounds):
-        emit = np.zeros((longest, n, 2))
-        emit[:, :, 1] = x @ weights
-        ahead, back = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        ahead[0] = start + emit[0]
+        emit = np.zeros((len(x), 2))
+        emit[:, 1] = x @ weights
+        ahead, back = np.zeros((len(x), 2)), np.zeros((len(x), 2))
+        ahead[:n] = start + emit[:n]
         for t in range(1, longest):
-            k = live[t]
-            ahead[t, :k] = emit[t, :k] + np.logaddexp(ahead[t - 1, :k, :1] + moves[0], ahead[t - 1, :k, 1:] + moves[1])
+            k, at, to = live[t], first[t], first[t - 1]
+            ahead[at:at + k] = emit[at:at + k] + np.logaddexp(ahead[to:to + k, :1] + moves[0], ahead[to:to + k, 1:] + moves[1])
         for t in range(longest - 2, -1, -1):
-            k = live[t + 1]
-            to = emit[t + 1, :k] + back[t + 1, :k]
-            back[t, :k] = np.logaddexp(moves[:, 0] + to[:, :1], moves[:, 1] + to[:, 1:])
-        total = np.logaddexp(ahead[size - 1, np.arange(n), 0], ahead[size - 1, np.arange(n), 1])
-        grad_w, grad_s, grad_m = np.zeros_like(weights), np.zeros(2), np.zeros((2, 2))
-        for t in range(longest):
-            k = live[t]
-            p1 = np.exp(ahead[t, :k, 1] + back[t, :k, 1] - total[:k])
-            miss = (label[:k] - p1) * share[:k]
-            grad_w += miss @ x[t, :k]
-            if t == 0:
-                grad_s += np.array([-miss.sum(), miss.sum()])
-            else:
-                to = emit[t, :k] + back[t, :k]
-                for a in (0, 1):
-                    for b in (0, 1):
-                        p = np.exp(ahead[t - 1, :k, a] + moves[a, b] + to[:, b] - total[:k])
-                        grad_m[a, b] += (((label[:k] == a) & (a == b)) - p) @ share[:k]
+            k, at = live[t + 1], first[t]
+            to = emit[first[t + 1]:first[t + 2]] + back[first[t + 1]:first[t + 2]]
+            back[at:at + k] = np.logaddexp(moves[:, 0] + to[:, :1], moves[:, 1] + to[:, 1:])
+        last = first[size - 1] + np.arange(n)
+        total = np.logaddexp(ahead[last, 0], ahead[last, 1])[owner]
+        miss = (label[owner] - np.exp(ahead[:, 1] + back[:, 1] - total)) * share[owner]
+        grad_w, grad_s, grad_m = miss @ x, np.array([-miss[:n].sum(), miss[:n].sum()]), np.zeros((2, 2))
+        to, own = emit[later] + back[later], owner[later]
+        for a in (0, 1):
+            for b in (0, 1):
+                p = np.exp(ahead[previous, a] + moves[a, b] + to[:, b] - total[later])
+                grad_m[a, b] = (((label[own] == a) & (a == b)) - p) @ share[own]
         for p, g, v in zip((weights, start, moves), (grad_w, grad_s, grad_m), speed):
             v *= 0.9
             v += g - shrink * 0.1 * p

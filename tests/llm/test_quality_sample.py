@@ -20,3 +20,11 @@ def test_one_id_with_many_texts(spark):
     labels = spark.createDataFrame([(k, int(k > 0)) for k in range(61)], "doc_id long, quality int")
     sample = [q for q, _ in rules.training_lines(docs, labels, 60 + 1, 1000)]
     assert len(sample) == 61 and 10 < sum(sample) < 50
+
+
+def test_whole_texts(spark):
+    docs = spark.createDataFrame([(k, "\n".join(GOOD.format(n) for n in range(90 + k))) for k in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    assert sorted(len(x) for _, x in rules.training_lines(docs, labels, 100, 10_000)) == list(range(90, 98))
+    few = rules.training_lines(docs, labels, 100, 300)  # texts of either label until they have 150 lines
+    assert sorted(q for q, _ in few) == [0, 0, 1, 1] and all(len(x) >= 90 for _, x in few)
