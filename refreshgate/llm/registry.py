@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refreshgate.llm import (filter_audit, language_id, license_scan, packing, piece_dropout, quality_model, quality_rules, simhash,
+from refreshgate.llm import (conversation_trie, filter_audit, language_id, license_scan, packing, piece_dropout, quality_model, quality_rules, simhash,
                              token_counts, top_k, url_filters, warc)
 from refreshgate.llm.batches import id_remainder
 from refreshgate.session import cut_lineage, shared_folder
@@ -79,6 +79,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.octet_length("decoded").cast("long").alias("n_bytes"), (F.col("decoded") == text).alias("lossless"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, each begun with the first turns of the first one of its family of five."""
+    return conversation_trie.family_trie(_table(spark, folder, "conversations"))
+
+
 def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Every page under four entries; a page that none of them fits is allowed."""
     return url_filters.judge(_table(spark, folder, "pages"), url_filters.PAGE_RULES)
@@ -91,7 +96,7 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_language_id, op3_top_k, op4_simhash, op5_quality_rules, op6_license_scan, op7_warc, op8_quality_model, op9_token_counts,
-                            op10_sentencepiece, op12_url_filters, op13_filter_audit)}
+                            op10_sentencepiece, op11_prefix_trie, op12_url_filters, op13_filter_audit)}
 SQL: dict[str, str] = {
     "op3_top_k": """
 WITH whole AS (
@@ -111,6 +116,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
   CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
 FROM newest""",
+    "op11_prefix_trie": conversation_trie.oracle(),
     "op12_url_filters": url_filters.oracle(url_filters.PAGE_RULES),
     "op13_filter_audit": filter_audit.oracle(),
 }

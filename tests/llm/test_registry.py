@@ -22,6 +22,8 @@ COLUMNS = {
     8: {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     9: {"doc_id": "bigint", "n_tokens": "bigint"},
     10: {"doc_id": "bigint", "n_pieces": "bigint", "lossless": "boolean"},
+    11: {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint",
+         "saved_tokens": "bigint", "ends_sha256": "string"},
     12: {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     13: {"part": "string", "filter_order": "string", "step": "int", "kept": "bigint", "removed": "bigint", "redundant": "bigint",
          "unique_fails": "bigint", "good_lost": "bigint", "toxic_lost": "bigint", "shapley": "bigint"},
@@ -48,4 +50,4 @@ def test_query(spark, name):
 
 
 def test_one_query_of_each():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
