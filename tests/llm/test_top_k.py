@@ -23,7 +23,7 @@ def brute(rows, asked, k):
     return out
 
 
-@pytest.mark.parametrize("case", ["random", "clusters", "ties", "few", "ragged"])
+@pytest.mark.parametrize("case", ["random", "clusters", "ties", "few", "ragged", "large"])
 def test_against_brute_force(spark, case):
     rng = np.random.default_rng(3)
     if case == "clusters":
@@ -36,6 +36,10 @@ def test_against_brute_force(spark, case):
                 (None, [1, 1]), (21, [3, 3]), (40, []), (60, None)]
     elif case == "ragged":
         rows = [(i, rng.normal(size=rng.integers(0, 6))) for i in range(120)]
+    elif case == "large":
+        rows = [(20, [1, 0]), (1, [1e8, 1]), (2, [3e7, .1]), (3, [3e7, .1]), (40, [1e7, -1e7]), (4, [1e7 + 1, 1e7]), (5, [2e7, 0]), (60, [0, 1e-3]),
+                (6, [0, 1e7]), (80, [-3e8, 2e8, 1]), (7, [2e8, 3e8]), (8, [2e8, 3e8, 1e8]), (9, [1e9, 1e9 - 0.25, 0.5]), (100, [0, 0, 0])]
+        rows += [(1000 + i, rng.normal(size=3) * 10.0 ** rng.integers(-1, 7)) for i in range(300)]
     else:
         rows = [(i, rng.normal(size=12)) for i in range(700)]
     vectors = frame(spark, [(i, None if v is None else list(v)) for i, v in rows])
@@ -53,8 +57,8 @@ def test_empty(spark):
 def test_pruning_loses_nothing_and_prunes():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(8, 16))
-    v = np.floor(64 * np.concatenate([c * rng.uniform(0.3, 2, (60, 1)) + rng.normal(size=(60, 16)) * 0.05 for c in centres])).astype(np.int64)
-    lengths = np.sqrt((v * v).sum(1).astype(float))
+    v = np.floor(64 * np.concatenate([c * rng.uniform(0.3, 2, (60, 1)) + rng.normal(size=(60, 16)) * 0.05 for c in centres]))
+    lengths = np.sqrt((v * v).sum(1))
     order = np.argsort(-lengths)
     v, lengths = v[order], lengths[order]
     looked = 0
@@ -66,3 +70,14 @@ def test_pruning_loses_nothing_and_prunes():
             assert set(np.flatnonzero(scores >= bound)) <= set(rows)
             looked += len(rows)
     assert looked < 0.7 * len(v) * 4 * len(v[::7])
+
+
+def test_scores_beyond_a_long(spark):
+    vectors = frame(spark, [(0, [1, 0]), (1, [1e300, 5]), (2, [0, 1e300]), (3, [2, 2])])
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        top_k.top_k(vectors, vectors.where("vec_id = 0")).collect()
+    # what does not come back may have any size
+    found = top_k.top_k(frame(spark, [(0, [1, 0]), (1, [-1e300, 5]), (2, [0, 1e300]), (3, [2, 2])]), vectors.where("vec_id = 0"), k=2)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 3, 8192), (0, 2, 2, 0)]
+    with pytest.raises(Exception, match="beyond the range of a double"):
+        top_k.top_k(frame(spark, [(0, [1, 0]), (1, [1e308, 5])]), vectors.where("vec_id = 0")).collect()
