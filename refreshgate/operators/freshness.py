@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from refreshgate.functions.names import group_name, without
 from refreshgate.functions.times import age_text, minutes_before, utc_text
 from refreshgate.operators import signals as sig
+from refreshgate.session import cut_lineage
 
 # fixed values: this text and those of `basis` and `status_text`
 REFRESHED_NOW = "refreshed by calling upstream job"
@@ -33,20 +34,22 @@ def gather_signals(table_meta: DataFrame, table_history: DataFrame, flow_definit
                    tracker: DataFrame | None = None) -> Signals:
     """All signals; with `tracker`, of the tables, pipelines and jobs that its rows name, and no other.
 
-    Histories are then narrowed by semi joins before they are aggregated. A materialized view has no history to read.
+    Histories are then narrowed by semi joins before they are aggregated; the names, and what is known of the tables, are
+    written once, so that each history meets a table of known size. A materialized view has no history to read.
     """
     if tracker is None:
         return Signals(
             table_meta, sig.last_write(table_history),
             sig.pipeline_success(table_meta, pipeline_events, flow_definitions, flow_progress, pipeline_updates),
             sig.job_success(job_runs), scan_errors)
-    sources = row_sources(tracker_rows(tracker))
-    tables = sources.where(F.col("table_name").isNotNull()).select("table_name").distinct()
-    meta = table_meta.join(tables, "table_name", "left_semi")
-    views = table_meta.where(F.col("table_type") == sig.MATERIALIZED_VIEW).select("table_name")
+    names = cut_lineage(row_sources(tracker_rows(tracker)).where(F.col("table_name").isNotNull())
+                        .select("table_name", "tracker_job").distinct())
+    tables = names.select("table_name").distinct()
+    meta = cut_lineage(table_meta.join(tables, "table_name", "left_semi"))
+    views = meta.where(F.col("table_type") == sig.MATERIALIZED_VIEW).select("table_name")
     owned = sig.owned_by_pipeline(meta)
     pipelines, ids = owned.select("pipeline_id").distinct(), owned.select(F.col("table_id").alias("uc_table_id")).distinct()
-    jobs = sources.where(F.col("tracker_job").isNotNull()).select(
+    jobs = names.where(F.col("tracker_job").isNotNull()).select(
         F.col("tracker_job").try_cast("bigint").alias("job_id")).distinct()
 
     def of(rows, names, key):

@@ -1,20 +1,18 @@
 """From lineage to tracker rows, for all entities in one plan: what an entity owns, reads and finally writes, and what
 produces its sources."""
 from functools import cached_property
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from refreshgate.functions.names import short_name
 from refreshgate.schemas import PRODUCERS_TYPE
-from refreshgate.session import cut_lineage
+from refreshgate.session import cut_counted, cut_lineage
 
 ENTITY = ["entity_type", "entity_name"]
 # fixed values: table types that are expanded, and names of a pipeline's own bookkeeping tables
 VIEW_TYPES = ("VIEW", "METRIC_VIEW")
 BOOKKEEPING_PREFIXES = ("__materialization", "event_log_")
 NO_ACCESS = "NO_ACCESS"
-LEVELS_PER_CUT = 6
 
 
 def entity_pipelines(resolved: DataFrame, job_tasks: DataFrame) -> DataFrame:
@@ -111,24 +109,31 @@ def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
     """Each root name followed through views to the end: (root, name, kind) with kind TABLE, MISSING or UNRESOLVED.
 
     Breadth first. A name counts at its smallest depth, and names seen before are not followed again, so circular views
-    end by themselves. With `max_depth`, a view at that depth is unresolved; a table there is kept. The walk stays one
-    lazy plan up to `LEVELS_PER_CUT` levels, since a level's shuffle is reused by the next; longer walks are cut in
-    between, where names seen are taken out.
+    end by themselves. With `max_depth`, a view at that depth is unresolved; a table there is kept. Two levels are written
+    at a time, without names that were seen before; the walk ends where the second of them is empty.
     """
     readable = table_meta.where(F.coalesce(F.col("access") != NO_ACCESS, F.lit(True)))
     views = readable.where(F.col("table_type").isin(*VIEW_TYPES)).select(F.col("table_name").alias("name"))
     steps = (view_deps.select(F.col("view_name").alias("name"), "dep").where(F.col("dep").isNotNull()).distinct()
              .join(views, "name", "left_semi"))
+    steps, found = cut_counted(steps, n=F.count(F.lit(1)))
     level = roots.select(F.col("table_name").alias("root"), F.col("table_name").alias("name")).distinct()
-    reached = level.withColumn("depth", F.lit(0))
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        level = level.join(steps, "name").select("root", F.col("dep").alias("name")).distinct()
-        if depth % LEVELS_PER_CUT == 0:
-            level = cut_lineage(level.join(reached.select("root", "name"), ["root", "name"], "left_anti"))
-            if level.isEmpty():
-                break
-        reached = reached.unionByName(level.withColumn("depth", F.lit(depth)))
-    nearest = reached.groupBy("root", "name").agg(F.min("depth").alias("depth"))
+    nearest, depth, last = level.withColumn("depth", F.lit(0)), 0, max_depth
+
+    def below(names: DataFrame, *seen: DataFrame) -> DataFrame:
+        names = names.join(steps, "name").select("root", F.col("dep").alias("name")).distinct()
+        for earlier in seen:
+            names = names.join(earlier.select("root", "name"), ["root", "name"], "left_anti")
+        return names
+
+    while found["n"] and (last is None or depth < last):
+        first = below(level, nearest)
+        pair = first.withColumn("depth", F.lit(depth + 1))
+        if last is None or depth + 2 <= last:
+            pair = pair.unionByName(below(first, nearest, first).withColumn("depth", F.lit(depth + 2)))
+        pair, found = cut_counted(pair, n=F.count_if(F.col("depth") == depth + 2))
+        depth += 2
+        nearest, level = nearest.unionByName(pair), pair.where(F.col("depth") == depth)
     meta = table_meta.select(F.col("table_name").alias("name"), "table_type", "access", F.lit(True).alias("known"))
     is_view = F.coalesce(F.col("table_type").isin(*VIEW_TYPES), F.lit(False))
     kind = (F.when(F.col("known").isNull() | (F.col("access") == NO_ACCESS), "MISSING")
@@ -177,26 +182,40 @@ def source_producers(tables: DataFrame, table_lineage: DataFrame, table_meta: Da
                         F.coalesce("pipeline_id", "job_id").alias("producer_id"))
 
 
+def lineage_facts(table_lineage: DataFrame) -> DataFrame:
+    """Lineage reduced on the map side to one row per writer, run, target and source with its latest time, in the columns of
+    lineage itself. A job's runs and sources are not told apart: only its latest write of a table matters."""
+    by_pipeline = F.col("entity_type") == "PIPELINE"
+    return (table_lineage.where(F.col("entity_type").isin("PIPELINE", "JOB") & F.col("target_table_full_name").isNotNull())
+            .groupBy("entity_type", "entity_id", F.when(by_pipeline, F.col("entity_run_id")).alias("entity_run_id"),
+                     F.when(by_pipeline, F.col("source_table_full_name")).alias("source_table_full_name"), "target_table_full_name")
+            .agg(F.max("ts_ms").alias("ts_ms")))
+
+
 class Discovery:
     """The steps from entities to their sources, each worked out when it is first asked for.
 
-    Raw lineage is read for the targets and for the edges only; both, and the sources, are written out once they are
-    reduced, since later steps use them many times.
+    Raw lineage is read once, for its facts; these, and the targets, edges and sources, are written out, since later steps
+    use them many times.
     """
 
     def __init__(self, entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
                  table_meta: DataFrame, view_deps: DataFrame, max_depth: int | None = None):
         self.resolved = resolved.join(entities.select(*ENTITY).distinct(), ENTITY, "left_semi")
-        self.job_tasks, self.table_lineage, self.table_meta = job_tasks, table_lineage, table_meta
+        self.job_tasks, self.table_lineage, self.table_meta = job_tasks, table_lineage, table_meta  # raw lineage
         self.view_deps, self.max_depth = view_deps, max_depth
 
     @cached_property
     def pipelines(self) -> DataFrame:
         return cut_lineage(entity_pipelines(self.resolved, self.job_tasks))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return cut_lineage(lineage_facts(self.table_lineage))
+
     @cached_property
     def targets(self) -> DataFrame:
-        return cut_lineage(lineage_targets(self.pipelines, self.table_lineage, self.table_meta))
+        return cut_lineage(lineage_targets(self.pipelines, self.facts, self.table_meta))
 
     @cached_property
     def owned(self) -> DataFrame:
@@ -204,7 +223,7 @@ class Discovery:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut_lineage(latest_write_edges(self.pipelines, self.owned, self.table_lineage))
+        return cut_lineage(latest_write_edges(self.pipelines, self.owned, self.facts))
 
     @cached_property
     def final(self) -> DataFrame:
@@ -244,7 +263,7 @@ def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame,
                    .agg(F.array_sort(F.collect_set("table_name")).alias("unknown")))
         sources = (sources.join(narrowed, group, "left").join(chosen, group + ["table_name"], "left")
                    .where(F.col("narrowed").isNull() | F.col("chosen")).select(*group, "table_name"))
-    producers = source_producers(sources, table_lineage, table_meta)
+    producers = source_producers(sources, steps.facts, table_meta)
     entry = F.struct("table_name", F.struct("producer_type", "producer_id"))
     per_group = sources.join(producers, "table_name").groupBy(*group).agg(
         F.array_sort(F.collect_set("table_name")).alias("src_tables"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from refreshgate.functions.times import MS_PER_DAY, MS_PER_HOUR, MS_PER_MINUTE, whole
 from refreshgate.operators.freshness import tracker_rows
 from refreshgate.operators.signals import WRITE_OPERATIONS
+from refreshgate.session import cut_lineage
 
 
 def failure_streaks(ticks: DataFrame, chunk_ms: int = MS_PER_HOUR) -> DataFrame:
@@ -46,24 +47,31 @@ def no_success_for(ticks: DataFrame, now_ms: int, hours: float) -> DataFrame:
 
 
 def write_gaps(table_history: DataFrame, chunk_ms: int = MS_PER_DAY) -> DataFrame:
-    """Time between consecutive data writes of a table: gaps within a chunk, and from a chunk to the next one used."""
+    """(table_name, gap_ms, n): time between consecutive data writes of a table, within a chunk and from a chunk to the next
+    one used, and how often there.
+
+    History is read once: to one row per chunk and length of gap, with the first and last write around such gaps. That
+    is written, and the gaps between chunks follow from it.
+    """
     writes = table_history.where(F.col("operation").isin(*WRITE_OPERATIONS)).select(
         "table_name", "version", "ts_ms", whole(F.col("ts_ms"), chunk_ms).alias("chunk"))
     in_chunk = Window.partitionBy("table_name", "chunk").orderBy("ts_ms", "version")
-    inside = writes.select("table_name", (F.col("ts_ms") - F.lag("ts_ms").over(in_chunk)).alias("gap_ms"))
+    inside = cut_lineage(
+        writes.withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(in_chunk)).groupBy("table_name", "chunk", "gap_ms").agg(
+            F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")))
     by_chunk = Window.partitionBy("table_name").orderBy("chunk")
-    between = (writes.groupBy("table_name", "chunk").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
-               .select("table_name", (F.col("first_ms") - F.lag("last_ms").over(by_chunk)).alias("gap_ms")))
-    return inside.unionByName(between).where(F.col("gap_ms").isNotNull())
+    between = (inside.groupBy("table_name", "chunk").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+               .select("table_name", (F.col("first_ms") - F.lag("last_ms").over(by_chunk)).alias("gap_ms"), F.lit(1).cast("bigint").alias("n")))
+    return inside.select("table_name", "gap_ms", "n").unionByName(between).where(F.col("gap_ms").isNotNull())
 
 
 def gap_summary(gaps: DataFrame, chunk_ms: int = MS_PER_MINUTE) -> DataFrame:
-    """table_name -> n_gaps, max_gap_ms and the exact lower median_gap_ms.
+    """table_name -> n_gaps, max_gap_ms and the exact lower median_gap_ms of `gaps` (table_name, gap_ms, n).
 
     Equal gaps are counted before the shuffle. The chunk of gap lengths that holds the median is found from one count
     per chunk; only that chunk's gaps, of at most `chunk_ms` different lengths, are then ordered.
     """
-    counts = gaps.groupBy("table_name", "gap_ms").agg(F.count("*").alias("n")).withColumn(
+    counts = gaps.groupBy("table_name", "gap_ms").agg(F.sum("n").alias("n")).withColumn(
         "chunk", whole(F.col("gap_ms"), chunk_ms))
     per_table = Window.partitionBy("table_name")
     n_before = F.sum("n_chunk").over(per_table.orderBy("chunk")) - F.col("n_chunk")

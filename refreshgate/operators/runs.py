@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from refreshgate.functions.times import utc_text
-from refreshgate.operators.signals import ACTIVE_PIPELINE_STATES, FINAL_RUN_STATES, newest_runs
+from refreshgate.operators.signals import ACTIVE_PIPELINE_STATES, FINAL_RUN_STATES, newest_runs, run_of, run_place, start_of
 
 # fixed values: life cycle states of a run that is still going to finish
 ACTIVE_RUN_STATES = ("PENDING", "QUEUED", "RUNNING", "BLOCKED", "WAITING_FOR_RETRY", "TERMINATING")
@@ -44,9 +44,9 @@ def run_state(job_runs: DataFrame, pipelines: DataFrame, pipeline_updates: DataF
     """(entity_type, entity_id) -> is it active, and the start and id of its latest run or update, whatever its result."""
     job = (job_runs.groupBy("job_id").agg(
         F.bool_or(~F.col("life_cycle_state").isin(*FINAL_RUN_STATES)).alias("active"),
-        F.max("start_ms").alias("latest_start_ms"), F.max(_place()).alias("latest"))
+        F.max("start_ms").alias("latest_start_ms"), F.max(run_place()).alias("latest"))
         .select(F.lit("JOB").alias("entity_type"), F.col("job_id").cast("string").alias("entity_id"),
-                F.coalesce("active", F.lit(False)).alias("active"), "latest_start_ms", _run_of("latest").alias("latest_id")))
+                F.coalesce("active", F.lit(False)).alias("active"), "latest_start_ms", run_of("latest").cast("string").alias("latest_id")))
     update = (pipeline_updates.where(F.col("creation_ms").isNotNull())
               .groupBy("pipeline_id").agg(F.max(F.struct("creation_ms", "update_id")).alias("latest")))
     pipeline = (pipelines.join(update, "pipeline_id", "left")
@@ -57,19 +57,6 @@ def run_state(job_runs: DataFrame, pipelines: DataFrame, pipeline_updates: DataF
     return job.unionByName(pipeline)
 
 
-ID_RANGE = 10 ** 19  # more than any bigint run id
-
-
-def _place() -> Column:
-    """(start_ms, run_id) as one number that sorts like the pair, so that the latest run is a hash aggregate."""
-    start = F.col("start_ms").cast("decimal(19,0)") * F.lit(str(ID_RANGE)).cast("decimal(20,0)")
-    return (start + F.coalesce("run_id", F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
-
-
-def _run_of(place: str) -> Column:
-    return (F.col(place) % F.lit(str(ID_RANGE)).cast("decimal(20,0)")).cast("string")
-
-
 def decide(groups: DataFrame, states: DataFrame) -> DataFrame:
     """Add `action` and `reason` to rows that carry entity_type, entity_id and newest_refresh_ms.
 
@@ -110,8 +97,10 @@ def previous_runs(job_runs: DataFrame, pipeline_updates: DataFrame, current_runs
     counts = (F.col("result_state") == "SUCCESS") | (
         F.col("result_state").isNull() & F.col("life_cycle_state").isin(*ACTIVE_RUN_STATES))
     state = F.coalesce("result_state", "life_cycle_state").alias("prev_state")
-    job = (runs.where(F.col("start_ms").isNotNull() & counts)
-           .groupBy("job_id").agg(F.max(F.struct("start_ms", "run_id", state)).alias("run"))
+    # runs are first reduced by hash to one row per job and state; only those few are compared as structs
+    per_state = runs.where(F.col("start_ms").isNotNull() & counts).groupBy("job_id", state).agg(F.max(run_place()).alias("place"))
+    job = (per_state.withColumns({"start_ms": start_of("place"), "run_id": run_of("place")})
+           .groupBy("job_id").agg(F.max(F.struct("start_ms", "run_id", "prev_state")).alias("run"))
            .select(F.lit("JOB").alias("entity_type"), F.col("job_id").cast("string").alias("entity_id"),
                    F.col("run.start_ms").alias("prev_start_ms"), F.col("run.run_id").cast("string").alias("prev_id"),
                    "run.prev_state"))

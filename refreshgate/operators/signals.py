@@ -109,13 +109,34 @@ def newest_runs(job_runs: DataFrame, depth: int | None = None) -> DataFrame:
     return job_runs.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= depth)
 
 
+ID_RANGE = 10 ** 19  # more than any bigint run id
+
+
+def run_place() -> Column:
+    """(start_ms, run_id) as one number that sorts like the pair, a NULL id before all others, so that the latest run is a
+    hash aggregate. NULL for a run that has not started."""
+    start = F.col("start_ms").cast("decimal(18,0)") * F.lit(str(ID_RANGE)).cast("decimal(20,0)")
+    return (start + F.coalesce(F.col("run_id").cast("decimal(19,0)") + 1, F.lit(0).cast("decimal(19,0)"))).cast("decimal(38,0)")
+
+
+def run_of(place: str) -> Column:
+    """The run id of a place, NULL if it has none."""
+    rest = F.col(place) % F.lit(str(ID_RANGE)).cast("decimal(20,0)")
+    return F.when(rest > 0, rest - 1).cast("bigint")
+
+
+def start_of(place: str) -> Column:
+    rest = F.col(place) % F.lit(str(ID_RANGE)).cast("decimal(20,0)")
+    return ((F.col(place) - rest) / F.lit(str(ID_RANGE)).cast("decimal(20,0)")).cast("bigint")
+
+
 def job_success(job_runs: DataFrame, depth: int | None = None) -> DataFrame:
     """job_id -> end and id of its newest successful run, among its newest `depth` completed runs if that is given."""
     completed = job_runs.where(F.col("life_cycle_state").isin(*FINAL_RUN_STATES)).select(
         "job_id", "run_id", "start_ms", "end_ms", "result_state")
     return (newest_runs(completed, depth).where(F.col("result_state") == "SUCCESS")
-            .groupBy("job_id").agg(F.max_by(F.struct("end_ms", "run_id"), F.struct("start_ms", "run_id")).alias("run"))
-            .select("job_id", F.col("run.end_ms").alias("done_ms"), F.col("run.run_id").alias("run_id")))
+            .groupBy("job_id").agg(F.max_by("end_ms", run_place()).alias("done_ms"), F.max(run_place()).alias("place"))
+            .select("job_id", "done_ms", run_of("place").alias("run_id")))
 
 
 def update_scopes(pipeline_updates: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ result just the steps and test views it needs.
 """
 import re
 
-from refreshgate.sources.fixtures import NOW_MS, TEMPLATES, duckdb_view
+from refreshgate.sources.fixtures import FIRST_MS, NOW_MS, TEMPLATES, duckdb_view
 
 SINCE_MS = NOW_MS - 31 * 86_400_000
 TODAY_DAYS = NOW_MS // 86_400_000
@@ -695,7 +695,74 @@ RESULTS = {
     "stream_refresh_state": f"""
         select table_name, last_write_ms, operation, {SHOWN_ROWS} as impacted_rows from last_write""",
 }
+RESULTS["dependency_cycles"] = """
+        select coalesce(m.entity, g.entity) as entity, m.cycle, m.n_members, coalesce(g.given_up, '') as given_up
+        from (select *, count(*) over (partition by cycle) as n_members from loop_members) m
+        full join (select entity, array_to_string(list_sort(list(upstream)), ',') as given_up from loop_given_up group by 1) g
+          on g.entity = m.entity"""
+RESULTS["impact_closure"] = "select table_name, entity, cast(min(d) as integer) as distance from impact_walk group by all"
 STEPS |= {
+    "loop_edges": """
+        select distinct l.entity, l.upstream from loops l join supplier a on 'E' || a.s_suppkey = l.entity
+        join supplier b on 'E' || b.s_suppkey = l.upstream where l.entity <> l.upstream""",
+    "loop_reach": """
+        select entity as a, upstream as b from loop_edges
+        union select r.a, e.upstream from loop_reach r join loop_edges e on e.entity = r.b""",
+    "loop_members": """
+        select r.a as entity, min(r.b) as cycle from loop_reach r join loop_reach q on q.a = r.b and q.b = r.a group by 1""",
+    # walks upstream that stay at v or after it
+    "loop_above": """
+        select 'E' || v.s_suppkey as v, e.entity as a, e.upstream as b from supplier v
+        join loop_edges e on e.entity >= 'E' || v.s_suppkey and e.upstream >= 'E' || v.s_suppkey
+        union select w.v, w.a, e.upstream from loop_above w join loop_edges e on e.entity = w.b and e.upstream >= w.v""",
+    "loop_points": """
+        select w.a as entity, max(w.v) as point from loop_above w join loop_above c on c.v = w.v and c.a = w.b and c.b = w.b
+        group by 1""",
+    "loop_given_up": """
+        select e.entity, e.upstream from loop_edges e join loop_points p on p.entity = e.entity and p.point = p.entity
+        join loop_points u on u.entity = e.upstream and u.point >= e.entity""",
+    # distances up to 60
+    "impact_walk": """
+        select distinct t.table_name, l.entity, 1 as d from refreshed_tables t
+        join loops l on 'main.demo.t' || substr(l.upstream, 2) = t.table_name
+        union select w.table_name, l.entity, w.d + 1 from impact_walk w join loops l on l.upstream = w.entity where w.d < 60""",
+}
+TICK_TIMES = ", ".join(str(FIRST_MS + h * 3_600_000) for h in (48, 60, 72, 240, 480, 720))
+RESULTS["gate_ticks"] = """
+        select now_ms, entity_name, entity_type, src_group, n_sources, verdict, n_stale, stale_at_ms from (
+          select *, lag(verdict) over w as was, lag(n_stale) over w as n_was from tick_verdicts
+          window w as (partition by entity_name, src_group order by now_ms))
+        where was is null or verdict <> was or n_stale <> n_was"""
+STEPS |= {
+    "tick_times": f"select unnest([{TICK_TIMES}])::bigint as now_ms",
+    "tick_writes": f"""
+        select t.now_ms, h.table_name, max(h.ts_ms) as ms from tick_times t join table_history h on h.ts_ms <= t.now_ms
+        where h.operation in ({WRITES}) group by all""",
+    "tick_events": """
+        select t.now_ms, e.uc_table_id, max(e.ts_ms) as ms from tick_times t join pipeline_events e on e.ts_ms <= t.now_ms
+        where e.status = 'COMPLETED' group by all""",
+    "tick_jobs": """
+        select t.now_ms, cast(r.job_id as string) as job_id, arg_max(r.end_ms, row(r.start_ms, r.run_id)) as ms
+        from tick_times t join job_runs r on r.end_ms <= t.now_ms
+        where r.life_cycle_state = 'TERMINATED' and r.result_state = 'SUCCESS' group by all""",
+    "tick_sources": """
+        select t.now_ms, s.entity_name, s.src_group, cast(s.window_mins as bigint) * 60000 as window_ms,
+          greatest(case when m.table_type = 'MATERIALIZED_VIEW' then null else w.ms end,
+            case when m.pipeline_id is not null then e.ms else j.ms end) as ms
+        from tick_times t cross join tracker_sources s left join table_meta m on m.table_name = s.table_name
+          left join tick_writes w on w.now_ms = t.now_ms and w.table_name = s.table_name
+          left join tick_events e on e.now_ms = t.now_ms and e.uc_table_id = m.table_id
+          left join tracker_producers p on p.entity_name = s.entity_name and p.src_table = s.table_name
+          left join tick_jobs j on j.now_ms = t.now_ms and j.job_id = p.producer_id
+        where s.window_mins is not null""",
+    "tick_verdicts": """
+        select t.now_ms, r.entity_name, r.entity_type, r.grp as src_group, cast(len(r.tables) as bigint) as n_sources,
+          case when r.refresh_window_btn_tables_in_mins is null or len(r.tables) = 0 then 'UNCHECKED'
+            when s.n_stale > 0 then 'STALE' else 'FRESH' end as verdict, coalesce(s.n_stale, 0) as n_stale, s.stale_at_ms
+        from tick_times t cross join tracker_rows_in r left join (
+          select now_ms, entity_name, src_group, count(*) filter (ms is null or ms < now_ms - window_ms) as n_stale,
+            min(ms + window_ms + 1) filter (ms >= now_ms - window_ms) as stale_at_ms
+          from tick_sources group by all) s on s.now_ms = t.now_ms and s.entity_name = r.entity_name and s.src_group = r.grp""",
     "known": """
         select table_name as name, table_type in ('VIEW', 'METRIC_VIEW') as is_view,
           cast(regexp_extract(table_name, '([0-9]+)$', 1) as bigint) as n

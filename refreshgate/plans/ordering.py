@@ -1,9 +1,9 @@
 """Dependencies between entities and their upstream-first levels."""
 from pyspark.sql import DataFrame, functions as F
 
-from refreshgate.session import cut_lineage
+from refreshgate.session import cut_counted, cut_lineage
 
-STEPS_PER_CUT = 4
+STEPS_PER_CUT = 8
 
 
 def entity_edges(reads: DataFrame, writes: DataFrame) -> DataFrame:
@@ -32,21 +32,22 @@ def _release_points(edges: DataFrame) -> DataFrame:
     of the smallest entity on the walk. `point(e) = max over upstreams u of min(e, point(u))`, starting from e itself,
     settles in as many rounds as the graph is deep, however many entities have to be let go.
     """
-    points = cut_lineage(edges.select("entity").distinct().withColumn("point", F.col("entity")))
-    n_points = points.count()
+    points, seen = cut_counted(edges.select("entity").distinct().withColumn("point", F.col("entity")), n=F.count(F.lit(1)))
+    n_points = seen["n"]
     while True:
         lower = points
         for _ in range(STEPS_PER_CUT):
             upstream = lower.select(F.col("entity").alias("upstream"), F.col("point").alias("upstream_point"))
             lower = (edges.join(upstream, "upstream").groupBy("entity")
                      .agg(F.max(F.least("entity", "upstream_point")).alias("point")))
-        lower = cut_lineage(lower.join(points.withColumnRenamed("point", "was"), "entity", "left"))
-        settled = lower.agg(F.count("*").alias("n"), F.count_if(F.col("point") != F.col("was")).alias("moved")).first()
-        points = lower.select("entity", "point")
+        points, seen = cut_counted(
+            lower.join(points.withColumnRenamed("point", "was"), "entity", "left"), n=F.count(F.lit(1)),
+            moved=F.count_if(F.col("point") != F.col("was")))
+        points = points.select("entity", "point")
         # points only ever sink, so none moved over several steps means none will
-        if settled.n == n_points and settled.moved == 0:
+        if seen["n"] == n_points and not seen["moved"]:
             return points
-        n_points = settled.n
+        n_points = seen["n"]
 
 
 def _dropped_edges(edges: DataFrame) -> DataFrame:
@@ -58,42 +59,65 @@ def _dropped_edges(edges: DataFrame) -> DataFrame:
             .where(F.col("upstream_point") >= F.col("entity")).select("entity", "upstream"))
 
 
+def _walks(edges: DataFrame) -> DataFrame:
+    """entity -> steps of the longest walk upstream over `edges`, STEPS_PER_CUT at most; of entities with an upstream."""
+    steps = edges.select("entity").distinct().withColumn("steps", F.lit(1))
+    for _ in range(STEPS_PER_CUT - 1):
+        upstream = steps.select(F.col("entity").alias("upstream"), F.col("steps").alias("upstream_steps"))
+        steps = edges.join(upstream, "upstream", "left").groupBy("entity").agg(
+            (F.max(F.coalesce("upstream_steps", F.lit(0))) + 1).alias("steps"))
+    return steps
+
+
+def among(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, upstream) of `edges` with both ends in `entities`."""
+    return (edges.join(entities.select("entity"), "entity", "left_semi")
+            .join(entities.select(F.col("entity").alias("upstream")), "upstream", "left_semi").select("entity", "upstream"))
+
+
+def long_walks(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """`_walks` as a written table, with the number of entities whose walks are not at their end (n_open) and the most
+    steps of the others (top, NULL if there are none)."""
+    unfinished = F.col("steps") == STEPS_PER_CUT
+    return cut_counted(_walks(edges), n=F.count(F.lit(1)), n_open=F.count_if(unfinished),
+                       top=F.max(F.when(~unfinished, F.col("steps"))))
+
+
 def arrange(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(levels, dropped): entity -> level, such that an entity comes after everything it waits for, and the
     (entity, upstream) dependencies given up because they close a cycle.
 
-    Entities without open dependencies are placed level by level. When none is left without, the first of the rest in
-    (type, name) order would be placed next and give up the dependencies it still has, again and again;
-    `_release_points` finds all of those at once, and what remains has no cycle. Rounds grow with the depth of the
-    graph, not with the number of entities or cycles.
+    An entity's level is the length of its longest walk upstream. Walks are followed STEPS_PER_CUT steps at a time; those
+    at their end are settled, and the rest go on among themselves. If a number of steps is met by no walk at its end,
+    everything that is left waits for a cycle: the first of the rest in (type, name) order would be placed next and give
+    up the dependencies it still has, again and again; `_release_points` finds all of those at once, and what remains has
+    no cycle. Rounds grow with the depth of the graph, not with the number of entities or cycles.
     """
     nodes = entities.select("entity").distinct()
-    open_edges = cut_lineage(
-        edges.select("entity", "upstream").distinct().join(nodes, "entity", "left_semi")
-        .join(nodes.withColumnRenamed("entity", "upstream"), "upstream", "left_semi").select("entity", "upstream"))
-    dropped = open_edges.limit(0)
-    waits, level, n_open = [], 0, open_edges.count()
-    while n_open:
-        blocked = open_edges.select("entity").distinct()
-        waits.append(blocked.withColumn("level", F.lit(level)))
-        left = cut_lineage(open_edges.join(blocked.withColumnRenamed("entity", "upstream"), "upstream", "left_semi")
-                           .select("entity", "upstream"))
-        n_left = left.count()
-        if n_left == n_open:  # every entity left waits for another one
-            waits.pop()
-            dropped = cut_lineage(_dropped_edges(left))
-            left = cut_lineage(left.join(dropped, ["entity", "upstream"], "left_anti"))
-            n_left = left.count()
-        else:
-            level += 1
-        open_edges, n_open = left, n_left
-    if not waits:
-        return nodes.withColumn("level", F.lit(0)), dropped
-    all_waits = waits[0]
-    for wait in waits[1:]:
-        all_waits = all_waits.unionByName(wait)
-    depth = all_waits.groupBy("entity").agg((F.max("level") + 1).alias("level"))
-    return nodes.join(depth, "entity", "left").select("entity", F.coalesce("level", F.lit(0)).alias("level")), dropped
+    edges, seen = cut_counted(among(edges.select("entity", "upstream").distinct(), nodes), n=F.count(F.lit(1)))
+    settled, dropped, open_nodes, n_nodes, base, highest = [], None, nodes, None, 0, 0
+    while seen["n"]:
+        walks, walked = long_walks(edges)
+        if n_nodes is not None and walked["n"] < n_nodes:  # some have no open upstream left
+            highest = max(highest, base)
+        highest = max(highest, base + (walked["top"] or 0))
+        steps = open_nodes.join(walks, "entity", "left").select("entity", F.coalesce("steps", F.lit(0)).alias("steps"))
+        settled.append(steps.where(F.col("steps") < STEPS_PER_CUT).select("entity", (F.col("steps") + base).alias("level")))
+        open_nodes, n_nodes = walks.where(F.col("steps") == STEPS_PER_CUT).select("entity"), walked["n_open"]
+        if not n_nodes:
+            break
+        edges, seen = cut_counted(among(edges, open_nodes), n=F.count(F.lit(1)))
+        base += STEPS_PER_CUT
+        if walked["top"] != STEPS_PER_CUT - 1:  # every entity left waits for a cycle
+            dropped = cut_lineage(_dropped_edges(edges))
+            edges, seen = cut_counted(edges.join(dropped, ["entity", "upstream"], "left_anti"), n=F.count(F.lit(1)))
+            base = highest
+    if not settled or n_nodes:
+        settled.append(open_nodes.select("entity", F.lit(base).alias("level")))
+    levels = settled[0]
+    for more in settled[1:]:
+        levels = levels.unionByName(more)
+    return levels, edges.limit(0) if dropped is None else dropped
 
 
 def upstream_levels(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from refreshgate import schemas
 from refreshgate.functions.names import entity_key, joined
+from refreshgate.functions.times import MS_PER_HOUR
 from refreshgate.operators import freshness, gates, lineage, monitor, runs, signals as sig, tracker as tracker_ops
-from refreshgate.plans import launch, ordering
+from refreshgate.plans import cycles, impact, launch, ordering
 from refreshgate.session import shared_folder
-from refreshgate.sources.fixtures import BASE_SCHEMAS, NOW_MS, Fixtures
-from refreshgate.streaming import refresh_state
+from refreshgate.sources.fixtures import BASE_SCHEMAS, FIRST_MS, NOW_MS, Fixtures
+from refreshgate.streaming import expiry_wheel, refresh_state
 
 LAUNCH_SCRIPT = "launch_downstream.py"
 TODAY, USER = "2024-01-31", "tester"
 FAILURE_STREAK, SILENT_HOURS = 4, 1
+TICK_TIMES = [FIRST_MS + h * MS_PER_HOUR for h in (48, 60, 72, 240, 480, 720)]
 
 
 class Run:
@@ -343,6 +345,22 @@ def upstream_levels(run: Run) -> DataFrame:
     return ordering.upstream_levels(entities, run.edges)
 
 
+def dependency_cycles(run: Run) -> DataFrame:
+    """Of a graph with nested cycles, one entity per supplier."""
+    entities = run.fx.base("supplier").select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("entity"))
+    found = cycles.dependency_cycles(entities, run.fx.loops)
+    return found.select("entity", "cycle", "n_members", F.array_join("given_up", ",").alias("given_up"))
+
+
+def impact_closure(run: Run) -> DataFrame:
+    """Everything downstream of the refreshed tables in the graph with cycles, from an index stored in slots."""
+    edges = run.fx.loops
+    reads = edges.select("entity", F.concat(F.lit("main.demo.t"), F.expr("substr(upstream, 2)")).alias("table_name"))
+    store = impact.store_index(impact.impact_index(edges), f"{shared_folder(run.spark)}/impact-{uuid.uuid4().hex}", n_slots=16)
+    readers = reads.join(run.fx.refreshed, "table_name", "left_semi").select(F.col("entity").alias("upstream"))
+    return impact.impact_of(run.fx.refreshed, reads, impact.read_index(store, readers))
+
+
 def launch_plan(run: Run) -> DataFrame:
     return launch.with_position(launch.summary_lines(run.plan))
 
@@ -413,6 +431,25 @@ def stream_refresh_state(run: Run) -> DataFrame:
         "table_name", "last_write_ms", "operation", _rows_text(F.col("impacted")))
 
 
+def gate_ticks(run: Run) -> DataFrame:
+    """Groups whose verdict moved, at six instants, by what was refreshed since the last one or by time alone."""
+    fx, last = run.fx, 0
+    wheel = expiry_wheel.build(fx.tracker, fx.table_meta, f"{shared_folder(run.spark)}/wheel-{uuid.uuid4().hex}", TICK_TIMES[0],
+                               bucket_ms=6 * MS_PER_HOUR)
+    for number, now in enumerate(TICK_TIMES):
+        def since(rows, column="ts_ms"):
+            return rows.where((F.col(column) > last) & (F.col(column) <= now))
+
+        ended = fx.job_runs.where(F.col("end_ms") <= now)
+        jobs = sig.job_success(ended.join(since(ended, "end_ms").select("job_id").distinct(), "job_id", "left_semi"))
+        changes = (expiry_wheel.write_changes(sig.last_write(since(fx.table_history)))
+                   .unionByName(expiry_wheel.completion_changes(sig.events_completion(since(fx.pipeline_events))))
+                   .unionByName(expiry_wheel.job_changes(jobs)))
+        wheel.tick(changes, now, number)
+        last = now
+    return wheel.moved(run.spark).select("now_ms", "entity_name", "entity_type", "src_group", "n_sources", "verdict", "n_stale", "stale_at_ms")
+
+
 QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
     last_write, impacted_rows, flow_last_completed, update_row_counts, dataset_suffix_match, events_last_completed,
     job_last_success, pipeline_last_success, update_covering_table, resolve_producer, source_status, source_status_text,
@@ -421,4 +458,5 @@ QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
     external_inputs, view_expansion, missing_and_unresolved, unfollowed_sources, source_producers, tracker_rows, tracker_upsert, tracker_edits,
     tracker_validate, entity_edges, running_producers, launch_task_params, jobs_running_pipelines, upstream_levels,
     launch_plan, plan_summary, recheck, gate_of_requested, previous_runs_of_others, select_rows, status_with_few_signals,
-    consecutive_failures, no_success_for, refresh_gaps, stream_refresh_state)
+    consecutive_failures, no_success_for, refresh_gaps, stream_refresh_state, gate_ticks,
+    dependency_cycles, impact_closure)

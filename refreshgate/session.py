@@ -4,7 +4,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,6 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """`cut_lineage`, and aggregates over the rows that come with the write itself, without another job."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, *(c.alias(name) for name, c in counts.items())))
+    return cut, seen.get
+
+
 def share_code(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per application, so that tasks can import it."""
     context = spark.sparkContext

@@ -124,6 +124,12 @@ TEMPLATES = {
         select 'E' || s_suppkey as entity_name, 'main.demo.t' || (100 + s_suppkey % 50) as src_table,
           'JOB' as producer_type, cast(s_suppkey % 60 as string) as producer_id
         from {supplier} where s_suppkey % 3 = 0""",
+    "loops": """
+        select 'E' || s_suppkey as entity, 'E' || (s_suppkey {div} 2) as upstream from {supplier} where s_suppkey > 0
+        union select 'E' || s_suppkey, 'E' || (s_suppkey + 1) from {supplier} where s_suppkey % 10 in (3, 4, 5)
+        union select 'E' || s_suppkey, 'E' || (s_suppkey - 3) from {supplier} where s_suppkey % 10 = 6
+        union select 'E' || s_suppkey, 'E' || (s_suppkey - 1) from {supplier} where s_suppkey % 10 = 5
+        union select 'E' || s_suppkey, 'E' || (2 * s_suppkey + 1) from {supplier} where s_suppkey % 50 = 7""",
     "check_ticks": """
         select 'E' || (user_id % 20) as entity_name, event_id as tick_id,
           {micros}(cast(ts as timestamp)) {div} 1000 as ts_ms,
@@ -298,6 +304,11 @@ class Fixtures:
                 .withColumn("updated_on", F.lit("2024-01-01").cast("date"))
                 .withColumn("created_by", F.lit("setup")).withColumn("updated_by", F.lit("setup")))
 
+    @cached_property
+    def loops(self) -> DataFrame:
+        """(entity, upstream): dependencies with cycles, some of them nested and some before others."""
+        return self.view("loops")
+
     @cached_property
     def check_ticks(self) -> DataFrame:
         return self.view("check_ticks")

@@ -47,5 +47,5 @@ def test_gaps(spark):
 def test_the_median_is_exact_for_any_number_of_gaps(spark):
     rng = random.Random(9)
     gaps = [("t", rng.randrange(0, 10 ** 7)) for _ in range(3000)] + [("u", 5)] * 4 + [("u", 7)] * 4 + [("w", 1)]
-    got = records(monitor.gap_summary(relation(spark, "table_name string, gap_ms bigint", gaps)), "table_name", "n_gaps", "max_gap_ms", "median_gap_ms")
+    got = records(monitor.gap_summary(relation(spark, "table_name string, gap_ms bigint, n bigint", [(*g, 1) for g in gaps])), "table_name", "n_gaps", "max_gap_ms", "median_gap_ms")
     assert got == [(t, len(own), max(own), median_low(own)) for t in "tuw" for own in [[g for k, g in gaps if k == t]]]
