@@ -2,6 +2,11 @@
 
 Each line of a text is an observation with features in 0..1; the CRF has two states. Viterbi decoding labels the lines
 of a text together, and the share of words in content lines decides whether the text stays.
+
+Labels are of whole documents, the states of their lines are not known. Training begins with every line labelled as its
+document, on documents alone and on a good and a bad one joined, so that the state has to change within a sequence. Then
+every line is judged by its own features, and where the share of content in a document agrees with its label, these
+states are what the next round learns from: content lines inside bad documents, boilerplate inside good ones.
 """
 from collections import Counter
 from collections.abc import Iterator
@@ -10,7 +15,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from refreshgate.llm.batches import id_and_text, map_batches, text_slices
 from refreshgate.session import cut_lineage
@@ -83,10 +88,11 @@ def line_features(text: str) -> tuple[list[list[float]], list[int]]:
 
 
 def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines: int) -> list[tuple[int, np.ndarray]]:
-    """(quality, features of all lines) of a sample of labelled documents.
+    """(quality, rows of features and number of words of all lines) of a sample of labelled documents.
 
     Ids are chosen by their hash; a row that repeats an id and its text counts once. Of the rows, `max_docs` by a hash of
     id and text, whatever their label; of each label, whole texts in that order until they have half of `max_lines` lines.
+    A text of more lines than that half is passed over, so the sample has at most 2 * `max_lines`.
     """
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -94,7 +100,7 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines:
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                made = [line_features(t or "")[0] for t in part.column("text").to_pylist()]
+                made = [[[*row, n] for row, n in zip(*line_features(t or ""))] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("doc_id", "mark", "quality")), pa.array([len(x) for x in made], pa.int64()),
                      pa.array([np.asarray(x, np.float32).tobytes() for x in made], pa.binary())],
@@ -104,24 +110,56 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines:
     made = map_batches(rows, run, "doc_id long, mark long, quality int, n long, features binary").dropDuplicates(["doc_id", "mark"])
     order = [F.xxhash64("doc_id", "mark"), F.col("doc_id"), F.col("mark")]
     made = cut_lineage(made.orderBy(*order).limit(max_docs))
-    before = Window.partitionBy("quality").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    fit_in = made.drop("features").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(
-        F.col("before") < max_lines / 2).select("doc_id", "mark")
+    chosen_rows, before = [], {}
+    for r in made.select("doc_id", "mark", "quality", "n").orderBy(*order).collect():  # at most max_docs short rows
+        if before.get(r["quality"], 0) < max_lines / 2 and r["n"] <= max_lines / 2:
+            before[r["quality"]] = before.get(r["quality"], 0) + r["n"]
+            chosen_rows.append((r["doc_id"], r["mark"]))
+    fit_in = made.sparkSession.createDataFrame(chosen_rows, "doc_id long, mark long")
     taken = made.join(F.broadcast(fit_in), ["doc_id", "mark"]).select("quality", "features").orderBy("quality", "features").collect()
-    return [(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES)).astype(float)) for r in taken]
+    return [(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES) + 1).astype(float)) for r in taken]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 200_000) -> LineCrf:
-    """Train on all lines of at most `max_docs` labelled documents, each line labelled as its document.
+    """Learn from all lines of at most `max_docs` labelled documents.
 
     Documents are whole; there are fewer where they have more than `max_lines` lines together. Both bounds are of the
     training sample alone; every line of every text is decoded. Without labelled lines, the CRF calls every line content.
     """
-    return train([(q, x) for q, x in training_lines(docs, labels, max_docs, max_lines) if len(x)])
-
-
-def train(samples: list[tuple[int, np.ndarray]], rounds: int = 80, rate: float = 0.3, shrink: float = 0.02) -> LineCrf:
-    """Gradient ascent on the shrunken conditional log-likelihood, all sequences in step, each counting the same."""
+    return learn([(q, x[:, :-1], x[:, -1]) for q, x in training_lines(docs, labels, max_docs, max_lines) if len(x)])
+
+
+def learn(documents: list[tuple[int, np.ndarray, np.ndarray]], passes: int = 3) -> LineCrf:
+    """A CRF from (quality, features of the lines, words of the lines) of documents whose lines bear no labels."""
+    states = [np.full(len(x), int(q == 1)) for q, x, _ in documents]
+    crf = train([])
+    for _ in range(passes):
+        crf = train(_joined(documents, states))
+        for k, (q, x, n_words) in enumerate(documents):
+            found = (x @ crf.weights >= 0).astype(int)  # line by line: the steps between states are still those of the labels
+            if ((found @ n_words >= MIN_CONTENT * n_words.sum()) == (q == 1)):
+                states[k] = found
+    return crf
+
+
+def _joined(documents: list[tuple[int, np.ndarray, np.ndarray]], states: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every document as a sequence, and pairs of a good and a bad one, in turns the one or the other first."""
+    alone = [(s, x) for s, (_, x, _) in zip(states, documents)]
+    order = np.random.default_rng(0).permutation(len(documents))
+    good, bad = ([alone[k] for k in order if (documents[k][0] == 1) == is_good] for is_good in (True, False))
+    pairs = []
+    for k in range(max(len(good), len(bad)) if good and bad else 0):
+        two = (good[k % len(good)], bad[k % len(bad)])
+        pairs.append(tuple(np.concatenate(c) for c in zip(*(two if k % 2 else two[::-1]))))
+    return alone + pairs
+
+
+def train(samples: list[tuple[int | np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.3, shrink: float = 0.02) -> LineCrf:
+    """Gradient ascent on the shrunken conditional log-likelihood of sequences (states, features), all in step.
+
+    The states are one number for all lines, or one for each. Sequences count the same, but for those of one state
+    throughout, of which both states count the same.
+    """
     weights, start, moves = np.zeros(len(FEATURES)), np.zeros(2), np.zeros((2, 2))
     weights[0] = 0.5
     if not samples:
@@ -129,15 +167,19 @@ def train(samples: list[tuple[int, np.ndarray]], rounds: int = 80, rate: float =
     samples = sorted(samples, key=lambda s: -len(s[1]))
     size = np.array([len(x) for _, x in samples])
     n, longest = len(size), int(size[0])
-    label = np.array([int(q == 1) for q, _ in samples])
+    states = [np.broadcast_to(np.asarray(s) == 1, len(rows)).astype(int) for s, rows in samples]
+    kind = np.array([int(s[0]) if (s == s[0]).all() else 2 for s in states])
     live = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # sequences longer than t
     first = np.concatenate(([0], np.cumsum(live)))  # where the lines of each step begin: those of a step stand together
     x, owner = np.zeros((first[-1], len(FEATURES))), np.concatenate([np.arange(k) for k in live])
+    label = np.zeros(first[-1], int)
     for i, (_, rows) in enumerate(samples):
         x[first[:len(rows)] + i] = rows
+        label[first[:len(rows)] + i] = states[i]
     later = np.arange(n, first[-1])  # lines with one before them
     previous = later - np.repeat(live[:-1], live[1:]) if longest > 1 else later
-    share = np.array([0.5 / max(1, (label == c).sum()) for c in (0, 1)])[label] / size  # both classes weigh the same
+    mixed = (kind == 2).mean()
+    share = np.array([*((1 - mixed) * 0.5 / max(1, (kind == c).sum()) for c in (0, 1)), 1 / n])[kind] / size
     speed = [np.zeros_like(p) for p in (weights, start, moves)]
     for _ in range(rounds):
         emit = np.zeros((len(x), 2))
@@ -153,13 +195,13 @@ def train(samples: list[tuple[int, np.ndarray]], rounds: int = 80, rate: float =
             back[at:at + k] = np.logaddexp(moves[:, 0] + to[:, :1], moves[:, 1] + to[:, 1:])
         last = first[size - 1] + np.arange(n)
         total = np.logaddexp(ahead[last, 0], ahead[last, 1])[owner]
-        miss = (label[owner] - np.exp(ahead[:, 1] + back[:, 1] - total)) * share[owner]
+        miss = (label - np.exp(ahead[:, 1] + back[:, 1] - total)) * share[owner]
         grad_w, grad_s, grad_m = miss @ x, np.array([-miss[:n].sum(), miss[:n].sum()]), np.zeros((2, 2))
         to, own = emit[later] + back[later], owner[later]
         for a in (0, 1):
             for b in (0, 1):
                 p = np.exp(ahead[previous, a] + moves[a, b] + to[:, b] - total[later])
-                grad_m[a, b] = (((label[own] == a) & (a == b)) - p) @ share[own]
+                grad_m[a, b] = (((label[previous] == a) & (label[later] == b)) - p) @ share[own]
         for p, g, v in zip((weights, start, moves), (grad_w, grad_s, grad_m), speed):
             v *= 0.9
             v += g - shrink * 0.1 * p

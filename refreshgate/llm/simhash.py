@@ -2,12 +2,12 @@
 
 Two fingerprints of 8 bytes that differ in at most 3 bits have at least 5 bytes in common: the guaranteed minimum of
 shared (position, byte) postings. Lists of a single (position, byte) would each hold 1/256 of all fingerprints, so the
-index is kept by five postings at once: a fingerprint stands in 56 lists, one per choice of 5 positions, and two
-fingerprints meet in a list only if they share at least those five. Within a list the shared positional bytes of a pair
-are tallied, pairs below the minimum are dropped, and the rest is verified bit by bit.
+index is kept by four postings at once: a fingerprint stands in 70 lists, one per choice of 4 positions, and pairs that
+share those four bytes or more meet there. The shared positional bytes of a pair are tallied, pairs with just the four
+are dropped, and the rest is verified bit by bit; a pair with the guaranteed five meets in five lists or more.
 
-A list holds distinct fingerprints with 40 bits in common, so at most 2 ** 24 of them whatever the corpus; copies of a
-text are one fingerprint. Of a list only a spanning forest of its links goes on, never all pairs.
+A list holds distinct fingerprints with 32 bits in common, 2 ** -32 of all that are not alike; copies of a text are one
+fingerprint. Of a list only a spanning forest of its links goes on, never all pairs.
 """
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -26,7 +26,7 @@ SEED = 42
 BYTES = 8
 MAX_BITS = 3
 MIN_MATCHES = BYTES - MAX_BITS
-POSITIONS = tuple(combinations(range(BYTES), MIN_MATCHES))
+POSITIONS = tuple(combinations(range(BYTES), MIN_MATCHES - 1))
 PAIRWISE = 4096  # longer lists look up every fingerprint within reach instead of comparing pairs
 BITS_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SPOT = np.arange(BYTES) * 256
@@ -92,7 +92,10 @@ def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _spanning_by_lookup(fps: np.ndarray) -> list[tuple[int, int]]:
-    """As spanning_links, for long lists: their fingerprints differ in 24 bits at most, so all within reach are looked up."""
+    """As spanning_links, for long lists: their fingerprints differ in 32 bits at most, so all within reach are looked up.
+
+    A mask of few bits leaves at least the guaranteed bytes as they are, so here the count drops nothing.
+    """
     varying = np.bitwise_or.reduce(fps ^ fps[0])
     bits = [b for b in range(64) if (int(varying) >> b) & 1]
     ordered = np.sort(fps)

@@ -2,6 +2,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from edges import TEXTS, documents, nothing
 
@@ -86,3 +87,46 @@ def test_edges(spark):
     kept = rules.keep_content(docs, untaught)
     assert kept.columns == docs.columns
     assert rules.judge(nothing(spark), crf).count() == 0 and rules.keep_content(nothing(spark), crf).count() == 0
+
+
+def labelled(part):
+    """(quality, text) of every fifth labelled document, or of the others."""
+    texts = {i: t or "" for i, t in zip(*(pq.read_table("/root/testdata/sf0.01/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text")))}
+    rows = zip(*(pq.read_table("/root/testdata/sf0.01/labels.parquet").column(c).to_pylist() for c in ("doc_id", "quality")))
+    return [(q, texts[i]) for i, q in rows if (i % 5 == 0) == (part == "held out")]
+
+
+def learnt():
+    made = [(q, *rules.line_features(t)) for q, t in labelled("learn")]
+    return rules.learn([(q, np.array(x), np.array(n, float)) for q, x, n in made if x])
+
+
+def test_lines_are_labelled():
+    """Texts made of a good and a bad document get the good one's share; documents may be part content, part boilerplate."""
+    crf, held = learnt(), [(q, t) for q, t in labelled("held out") if len(t.split()) >= 10]
+    kept = {c: np.mean([rules.content_shares(crf, [t])[0] >= rules.MIN_CONTENT for q, t in held if q == c]) for c in (0, 1)}
+    assert kept[1] > 0.98 and kept[0] < 0.1
+    good, bad = ([t for q, t in held if q == c] for c in (1, 0))
+    misses = []
+    for k in range(60):
+        two = (good[k % len(good)], bad[k % len(bad)])
+        share = len(two[0].split()) / sum(len(t.split()) for t in two)
+        misses.append(abs(rules.content_shares(crf, ["\n".join(two if k % 2 else two[::-1])])[0] - share))
+    assert np.mean(misses) < 0.05
+    shares = [rules.content_shares(crf, [t])[0] for _, t in labelled("learn") + labelled("held out")]
+    assert sum(0 < s < 1 for s in shares) >= 5
+
+
+def test_states_of_lines_are_latent():
+    """A boilerplate line inside good documents, and a content line inside bad ones, are found."""
+    plain = "The quick brown fox number {} jumps over the lazy dog and goes home."
+    junk = "BUY!! NOW!! #{} $$$ *** click !!"
+    good = ["\n".join([plain.format(k), plain.format(-k), *([junk.format(k)] if k % 4 == 0 else []), plain.format(2 * k)]) for k in range(80)]
+    bad = ["\n".join([junk.format(k), junk.format(k + 1), *([plain.format(k)] if k % 4 == 0 else []), junk.format(-k), junk.format(3 * k)]) for k in range(80)]
+    made = [(q, *rules.line_features(t)) for q, texts in ((1, good), (0, bad)) for t in texts]
+    crf = rules.learn([(q, np.array(x), np.array(n, float)) for q, x, n in made])
+
+    def states(text):
+        return rules.decode(crf, (np.array(rules.line_features(text)[0]) @ crf.weights).tolist())
+
+    assert states(good[4]) == [1, 1, 0, 1] and states(bad[4]) == [0, 0, 1, 0, 0] and states(good[1]) == [1, 1, 1]

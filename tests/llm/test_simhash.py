@@ -95,3 +95,18 @@ def test_components_of_a_long_chain(spark):
     found = dict(map(tuple, components(edges).collect()))
     assert found == {k: 0 if k <= 70 else 71 for k in range(151)}
     assert components(edges.where("a < 0")).count() == 0
+
+
+def test_the_count_drops_pairs():
+    """Pairs that meet by four bytes and share no fifth are dropped by their tally, before their bits are looked at."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2 ** 63, 40).astype(np.uint64)
+    fps = np.unique(np.concatenate([base ^ (rng.integers(0, 2 ** 32, 40).astype(np.uint64)) for _ in range(6)]))
+    lists, members = simhash.postings(fps)
+    order = np.argsort(lists, kind="stable")
+    groups = np.split(members[order], np.flatnonzero(np.diff(lists[order])) + 1)
+    met = {(int(a), int(b)) for g in groups if len(g) > 1 for a in g for b in g if a < b}
+    tally = {p: sum((p[0] >> 8 * k & 255) == (p[1] >> 8 * k & 255) for k in range(8)) for p in met}
+    assert min(tally.values()) == 4 and sum(t < simhash.MIN_MATCHES for t in tally.values()) > 0.5 * len(tally)
+    ends = np.array(sorted(met), np.uint64)
+    assert simhash.near(ends[:, 0], ends[:, 1]).tolist() == [(a ^ b).bit_count() <= 3 for a, b in sorted(met)]
