@@ -4,7 +4,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from refreshgate.llm import language_id, near_copies, packing, quality_rules, simhash
+from refreshgate.llm import language_id, packing, quality_rules, simhash
 from refreshgate.session import shared_folder
 
 
@@ -18,14 +18,9 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_content(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies in the sense of op4's contract, which is not a stage."""
-    return simhash.keep_one(docs)
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies: SimHash of three-word shingles, linked at three or fewer differing bits."""
+    return simhash.keep_one(docs, shingle=3, max_bits=3)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens, without the ids themselves."""
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
@@ -29,25 +30,30 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every vector whose id is divisible by 20, the 20 best of all others."""
     vectors = _table(spark, folder, "embeddings")
     return top_k.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their fingerprint, as hexadecimal digits, and their component."""
     found = simhash.classes(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents judged by their counts and by a CRF that all labels teach."""
     docs = _table(spark, folder, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, folder, "labels")))
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and templates in all documents."""
     return license_scan.scan(_table(spark, folder, "documents"))
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as archives and read back; the last chunk of a record has its whole size and digest."""
     archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(_table(spark, folder, "pages"), archives)
     read = warc.read_chunks(spark, archives, payloads=False).where("last")
@@ -66,11 +72,13 @@ def op8_quality_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of all documents, found in flat token files by their separators."""
     files = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     return token_counts.document_counts(_table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded with dropout and decoded again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = piece_dropout.encoded(_table(spark, folder, "documents"), model, seed=17)
     text = F.coalesce("text", F.lit(""))

@@ -107,6 +107,6 @@ def test_the_count_drops_pairs():
     groups = np.split(members[order], np.flatnonzero(np.diff(lists[order])) + 1)
     met = {(int(a), int(b)) for g in groups if len(g) > 1 for a in g for b in g if a < b}
     tally = {p: sum((p[0] >> 8 * k & 255) == (p[1] >> 8 * k & 255) for k in range(8)) for p in met}
-    assert min(tally.values()) == 4 and sum(t < simhash.MIN_MATCHES for t in tally.values()) > 0.5 * len(tally)
+    assert min(tally.values()) == 4 and sum(t < simhash.min_matches(3) for t in tally.values()) > 0.5 * len(tally)
     ends = np.array(sorted(met), np.uint64)
     assert simhash.near(ends[:, 0], ends[:, 1]).tolist() == [(a ^ b).bit_count() <= 3 for a, b in sorted(met)]
