@@ -13,6 +13,7 @@ ENTITY = ["entity_type", "entity_name"]
 VIEW_TYPES = ("VIEW", "METRIC_VIEW")
 BOOKKEEPING_PREFIXES = ("__materialization", "event_log_")
 NO_ACCESS = "NO_ACCESS"
+LEVELS_PER_CUT = 6
 
 
 def entity_pipelines(resolved: DataFrame, job_tasks: DataFrame) -> DataFrame:
@@ -109,31 +110,30 @@ def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
     """Each root name followed through views to the end: (root, name, kind) with kind TABLE, MISSING or UNRESOLVED.
 
     Breadth first. A name counts at its smallest depth, and names seen before are not followed again, so circular views
-    end by themselves. With `max_depth`, a view at that depth is unresolved; a table there is kept. Two levels are written
-    at a time, without names that were seen before; the walk ends where the second of them is empty.
+    end by themselves. With `max_depth`, a view at that depth is unresolved; a table there is kept. `LEVELS_PER_CUT` levels
+    are one lazy plan, since a level's shuffle is reused by the next, and are written without names that were seen before
+    them; the walk ends where the last of them is empty.
     """
     readable = table_meta.where(F.coalesce(F.col("access") != NO_ACCESS, F.lit(True)))
     views = readable.where(F.col("table_type").isin(*VIEW_TYPES)).select(F.col("table_name").alias("name"))
     steps = (view_deps.select(F.col("view_name").alias("name"), "dep").where(F.col("dep").isNotNull()).distinct()
              .join(views, "name", "left_semi"))
-    steps, found = cut_counted(steps, n=F.count(F.lit(1)))
     level = roots.select(F.col("table_name").alias("root"), F.col("table_name").alias("name")).distinct()
-    nearest, depth, last = level.withColumn("depth", F.lit(0)), 0, max_depth
-
-    def below(names: DataFrame, *seen: DataFrame) -> DataFrame:
-        names = names.join(steps, "name").select("root", F.col("dep").alias("name")).distinct()
-        for earlier in seen:
-            names = names.join(earlier.select("root", "name"), ["root", "name"], "left_anti")
-        return names
-
-    while found["n"] and (last is None or depth < last):
-        first = below(level, nearest)
-        pair = first.withColumn("depth", F.lit(depth + 1))
-        if last is None or depth + 2 <= last:
-            pair = pair.unionByName(below(first, nearest, first).withColumn("depth", F.lit(depth + 2)))
-        pair, found = cut_counted(pair, n=F.count_if(F.col("depth") == depth + 2))
-        depth += 2
-        nearest, level = nearest.unionByName(pair), pair.where(F.col("depth") == depth)
+    nearest, depth, more = level.withColumn("depth", F.lit(0)), 0, True
+    while more and (max_depth is None or depth < max_depth):
+        upto = depth + LEVELS_PER_CUT if max_depth is None else min(depth + LEVELS_PER_CUT, max_depth)
+        below = None
+        while depth < upto:
+            depth += 1
+            level = level.join(steps, "name").select("root", F.col("dep").alias("name")).distinct()
+            named = level.withColumn("depth", F.lit(depth))
+            below = named if below is None else below.unionByName(named)
+        if depth != max_depth:
+            below, found = cut_counted(below.join(nearest.select("root", "name"), ["root", "name"], "left_anti"),
+                                       n=F.count_if(F.col("depth") == depth))
+            level, more = below.where(F.col("depth") == depth).select("root", "name"), found["n"]
+        nearest = nearest.unionByName(below)
+    nearest = nearest.groupBy("root", "name").agg(F.min("depth").alias("depth"))
     meta = table_meta.select(F.col("table_name").alias("name"), "table_type", "access", F.lit(True).alias("known"))
     is_view = F.coalesce(F.col("table_type").isin(*VIEW_TYPES), F.lit(False))
     kind = (F.when(F.col("known").isNull() | (F.col("access") == NO_ACCESS), "MISSING")

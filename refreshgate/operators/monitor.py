@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from refreshgate.functions.times import MS_PER_DAY, MS_PER_HOUR, MS_PER_MINUTE, whole
 from refreshgate.operators.freshness import tracker_rows
 from refreshgate.operators.signals import WRITE_OPERATIONS
-from refreshgate.session import cut_lineage
 
 
 def failure_streaks(ticks: DataFrame, chunk_ms: int = MS_PER_HOUR) -> DataFrame:
@@ -50,15 +49,14 @@ def write_gaps(table_history: DataFrame, chunk_ms: int = MS_PER_DAY) -> DataFram
     """(table_name, gap_ms, n): time between consecutive data writes of a table, within a chunk and from a chunk to the next
     one used, and how often there.
 
-    History is read once: to one row per chunk and length of gap, with the first and last write around such gaps. That
-    is written, and the gaps between chunks follow from it.
+    History is reduced to one row per chunk and length of gap, with the first and last write around such gaps, and the gaps
+    between chunks follow from that: both sides come from one shuffle of the writes, so history is read once.
     """
     writes = table_history.where(F.col("operation").isin(*WRITE_OPERATIONS)).select(
         "table_name", "version", "ts_ms", whole(F.col("ts_ms"), chunk_ms).alias("chunk"))
     in_chunk = Window.partitionBy("table_name", "chunk").orderBy("ts_ms", "version")
-    inside = cut_lineage(
-        writes.withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(in_chunk)).groupBy("table_name", "chunk", "gap_ms").agg(
-            F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")))
+    inside = writes.withColumn("gap_ms", F.col("ts_ms") - F.lag("ts_ms").over(in_chunk)).groupBy("table_name", "chunk", "gap_ms").agg(
+        F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
     by_chunk = Window.partitionBy("table_name").orderBy("chunk")
     between = (inside.groupBy("table_name", "chunk").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
                .select("table_name", (F.col("first_ms") - F.lag("last_ms").over(by_chunk)).alias("gap_ms"), F.lit(1).cast("bigint").alias("n")))

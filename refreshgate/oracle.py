@@ -332,7 +332,7 @@ STEPS |= {
           list_filter(parameters, lambda p: starts_with(p, '--dry_run='))[-1] as dry from launch_tasks""",
 }
 
-# the launch plan: levels are unrolled, each entity after those it waits for
+# the launch plan: levels are unrolled, each entity after those it waits for; a graph with more of them is an error
 LAUNCH_LEVELS = "abcdefghijklmn"
 UNCOVERED = """
         select f.key, f.src_group, f.pipeline_id, f.update_id, min(f.table_name) as table_name,
@@ -420,7 +420,9 @@ STEPS |= {
             select n.*, case when n.cause = 'JOB_TASK' then j.job_id end as job_id
             from running_now n left join pipeline_jobs j on j.pipeline_id = n.pipeline_id) r on r.table_name = s.table_name
           left join handoffs h on h.job_id = r.job_id and h.entity_type = s.entity_type and h.table_name = s.table_name""",
-    "launched_none": "select cast(null as string) as entity where false",
+    "launched_none": f"""
+        select cast(null as string) as entity where case when (select max(level) from plan_levels) >= {len(LAUNCH_LEVELS)}
+          then error('this statement follows {len(LAUNCH_LEVELS)} levels, and the plan has more') else false end""",
     "row_pairs": """
         select u.key, u.src_group, u.upstream, u.upstream_level, u.upstream_type, u.upstream_name,
           list_sort(list(distinct u.table_name)) as shared, bool_or(u.hands_off) as hands_off,
@@ -695,6 +697,18 @@ RESULTS = {
     "stream_refresh_state": f"""
         select table_name, last_write_ms, operation, {SHOWN_ROWS} as impacted_rows from last_write""",
 }
+RESULTS["fresh_intervals"] = """
+        select distinct entity_name, entity_type, src_group, from_ms, until_ms from (
+          select s.entity_name, r.entity_type, s.src_group, s.t as from_ms,
+            min(u.t) as until_ms from span_states s
+          join tracker_rows_in r on r.entity_name = s.entity_name and r.grp = s.src_group
+          join span_states u on u.entity_name = s.entity_name and u.src_group = s.src_group and u.t > s.t and not u.fresh
+          where s.fresh and not s.was group by all)"""
+RESULTS["gate_as_of"] = "select now_ms, entity_name, entity_type, src_group, verdict from span_verdicts"
+RESULTS["stored_lineage_edges"] = RESULTS["latest_write_edges"]
+RESULTS["stored_update_rows"] = RESULTS["update_row_counts"]
+RESULTS["tracker_upsert_slots"] = RESULTS["tracker_upsert"]
+RESULTS["stream_flow_state"] = RESULTS["update_row_counts"]
 RESULTS["dependency_cycles"] = """
         select coalesce(m.entity, g.entity) as entity, m.cycle, m.n_members, coalesce(g.given_up, '') as given_up
         from (select *, count(*) over (partition by cycle) as n_members from loop_members) m
@@ -780,6 +794,32 @@ STEPS |= {
 }
 
 
+STEPS |= {
+    "span_sources": STEPS["tick_sources"].replace("else j.ms end", "end"),
+    "span_verdicts": STEPS["tick_verdicts"].replace("tick_sources", "span_sources"),
+    "span_events": f"""
+        select s.entity_name, s.src_group, s.pos, cast(s.window_mins as bigint) * 60000 as window_ms, x.ms
+        from tracker_sources s left join table_meta m on m.table_name = s.table_name
+        join (select 'w' as kind, table_name as name, ts_ms as ms from table_history where operation in ({WRITES})
+              union all select 'c', uc_table_id, ts_ms from pipeline_events where status = 'COMPLETED') x
+          on (x.kind = 'w' and x.name = s.table_name and coalesce(m.table_type, '') <> 'MATERIALIZED_VIEW')
+          or (x.kind = 'c' and x.name = m.table_id and m.pipeline_id is not null)
+        where s.window_mins is not null""",
+    # a group's state can only change when a source is refreshed or runs out of its window
+    "span_instants": """
+        select entity_name, src_group, ms as t from span_events
+        union select entity_name, src_group, ms + window_ms + 1 from span_events""",
+    "span_counts": """
+        select i.entity_name, i.src_group, i.t, count(distinct e.pos) as n from span_instants i
+        left join span_events e on e.entity_name = i.entity_name and e.src_group = i.src_group
+          and e.ms <= i.t and e.ms >= i.t - e.window_ms group by all""",
+    "span_states": """
+        select *, lag(fresh, 1, false) over (partition by entity_name, src_group order by t) as was from (
+          select c.entity_name, c.src_group, c.t, c.n = len(r.tables) as fresh from span_counts c
+          join tracker_rows_in r on r.entity_name = c.entity_name and r.grp = c.src_group)""",
+}
+
+
 def _needed(sql: str, found: dict[str, str]) -> None:
     for word in dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_]+)", sql)):
         text = STEPS.get(word) or (duckdb_view(word) if word in TEMPLATES else None)

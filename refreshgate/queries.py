@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from refreshgate import schemas
 from refreshgate.functions.names import entity_key, joined
 from refreshgate.functions.times import MS_PER_HOUR
-from refreshgate.operators import freshness, gates, lineage, monitor, runs, signals as sig, tracker as tracker_ops
+from refreshgate.operators import freshness, gates, intervals, lineage, monitor, runs, signals as sig, tracker as tracker_ops
 from refreshgate.plans import cycles, impact, launch, ordering
-from refreshgate.session import shared_folder
+from refreshgate.session import cut_lineage, shared_folder
+from refreshgate.sources import stores, tracker_store
 from refreshgate.sources.fixtures import BASE_SCHEMAS, FIRST_MS, NOW_MS, Fixtures
-from refreshgate.streaming import expiry_wheel, refresh_state
+from refreshgate.streaming import expiry_wheel, flow_state, refresh_state
 
 LAUNCH_SCRIPT = "launch_downstream.py"
 TODAY, USER = "2024-01-31", "tester"
@@ -47,6 +48,11 @@ class Run:
     def refreshed_status(self) -> DataFrame:
         return freshness.source_status(self.fx.tracker, self.tracked_signals, NOW_MS, self.fx.refreshed)
 
+    @cached_property
+    def unproduced(self) -> DataFrame:
+        """The tracker without the producers of its sources."""
+        return self.fx.tracker.withColumn("src_table_producers", F.lit(None).cast(schemas.PRODUCERS_TYPE))
+
     @cached_property
     def groups(self) -> DataFrame:
         return gates.group_verdict(self.status)
@@ -251,6 +257,24 @@ def latest_write_edges(run: Run) -> DataFrame:
     return run.lineage.edges.select("entity_type", "entity_name", "target", "source")
 
 
+def stored_lineage_edges(run: Run) -> DataFrame:
+    """The latest-write edges from lineage kept by workspace and day."""
+    fx, path = run.fx, f"{shared_folder(run.spark)}/lineage-{uuid.uuid4().hex}"
+    stores.store_lineage(fx.raw_lineage, path)
+    kept = stores.stored_lineage(run.spark, path, NOW_MS, lookback_days=90, workspace_id="w-1")
+    found = lineage.Discovery(run.entities, runs.resolve_names(run.entities, fx.jobs, fx.pipelines), fx.job_tasks, kept, fx.table_meta, fx.view_deps)
+    return found.edges.select("entity_type", "entity_name", "target", "source")
+
+
+def stored_update_rows(run: Run) -> DataFrame:
+    """The rows of each dataset's last completed update, from an event log kept with typed details."""
+    path = f"{shared_folder(run.spark)}/event-log-{uuid.uuid4().hex}"
+    stores.store_event_log(run.fx.event_log, path)
+    done = sig.dataset_completion(stores.stored_flow_definitions(run.spark, path),
+                                  stores.stored_flow_progress(run.spark, path, run.fx.since_ms))
+    return done.select("pipeline_id", "dataset", "update_id", "output_rows", "upserted_rows", "deleted_rows")
+
+
 def final_targets(run: Run) -> DataFrame:
     return run.lineage.final
 
@@ -311,6 +335,16 @@ def tracker_upsert(run: Run) -> DataFrame:
     return _flat_tracker(tracker_ops.upsert(run.fx.tracker, incoming, TODAY, USER))
 
 
+def tracker_upsert_slots(run: Run) -> DataFrame:
+    """The same upsert in two parts, each written to the slots that it touches."""
+    store = tracker_store.create_store(run.fx.tracker, f"{shared_folder(run.spark)}/tracker-{uuid.uuid4().hex}", n_slots=8)
+    incoming = cut_lineage(run.incoming.where(F.col("error").isNull()).drop("error"))
+    is_job = F.col("entity_type") == "JOB"
+    for part in (incoming.where(is_job), incoming.where(~is_job)):
+        store.upsert(part, TODAY, USER)
+    return _flat_tracker(store.read(run.spark))
+
+
 def tracker_edits(run: Run) -> DataFrame:
     return _flat_tracker(tracker_ops.apply_edits(run.fx.tracker, run.edits, TODAY, USER))
 
@@ -345,6 +379,28 @@ def upstream_levels(run: Run) -> DataFrame:
     return ordering.upstream_levels(entities, run.edges)
 
 
+def _refresh_history(run: Run) -> tuple[DataFrame, DataFrame]:
+    """All refreshes of tables by writes and completed flows, and the sources they belong to (no job producers)."""
+    fx = run.fx
+    writes = fx.table_history.where(F.col("operation").isin(*sig.WRITE_OPERATIONS)).select("table_name", F.col("ts_ms").alias("last_write_ms"))
+    done = fx.pipeline_events.where(F.col("status") == "COMPLETED").select("uc_table_id", F.col("ts_ms").alias("done_ms"))
+    links = expiry_wheel.gate_links(run.unproduced, fx.table_meta)
+    return expiry_wheel.write_changes(writes).unionByName(expiry_wheel.completion_changes(done)), links
+
+
+def fresh_intervals(run: Run) -> DataFrame:
+    """Every span in which a group was fresh."""
+    rows = freshness.tracker_rows(run.unproduced).select("row_id", "entity_name", "entity_type", "src_group")
+    return intervals.fresh_intervals(*_refresh_history(run)).join(rows, "row_id").drop("row_id")
+
+
+def gate_as_of(run: Run) -> DataFrame:
+    """The gate at six instants, from the spans."""
+    checked = F.col("window_mins").isNotNull() & (F.size("tables") > 0)
+    rows = freshness.tracker_rows(run.unproduced).select("row_id", "entity_name", "entity_type", "src_group", checked.alias("checked"))
+    return intervals.gate_as_of(rows, intervals.fresh_intervals(*_refresh_history(run)), TICK_TIMES).drop("row_id", "checked")
+
+
 def dependency_cycles(run: Run) -> DataFrame:
     """Of a graph with nested cycles, one entity per supplier."""
     entities = run.fx.base("supplier").select(F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("entity"))
@@ -450,6 +506,20 @@ def gate_ticks(run: Run) -> DataFrame:
     return wheel.moved(run.spark).select("now_ms", "entity_name", "entity_type", "src_group", "n_sources", "verdict", "n_stale", "stale_at_ms")
 
 
+def stream_flow_state(run: Run) -> DataFrame:
+    """Flow progress as a stream, to the end, then the last completed update of each dataset and its rows."""
+    spark, where = run.spark, f"{shared_folder(run.spark)}/flow-state-{uuid.uuid4().hex}"
+    orders = spark.readStream.schema(BASE_SCHEMAS["orders"]).option("pathGlobFilter", "orders.parquet").parquet(run.folder)
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
+    progress = orders.select(
+        F.concat(F.lit("p-"), (customer % 40).cast("string")).alias("pipeline_id"), F.concat(F.lit("f-"), customer.cast("string")).alias("flow_name"),
+        F.concat(F.lit("u-"), (order - order % 3).cast("string")).alias("update_id"), status.alias("status"), (order % 10).alias("output_rows"),
+        (order % 3).alias("upserted_rows"), (order % 2).alias("deleted_rows"), (FIRST_MS + order * 7919 % 2592000 * 1000).alias("ts_ms"))
+    flow_state.track_flows(progress, run.fx.flow_definitions, f"{where}/state", f"{where}/checkpoint", availableNow=True).awaitTermination()
+    return flow_state.read_flows(spark, f"{where}/state").drop("done_ms")
+
+
 QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
     last_write, impacted_rows, flow_last_completed, update_row_counts, dataset_suffix_match, events_last_completed,
     job_last_success, pipeline_last_success, update_covering_table, resolve_producer, source_status, source_status_text,
@@ -459,4 +529,5 @@ QUERIES: tuple[Callable[[Run], DataFrame], ...] = (
     tracker_validate, entity_edges, running_producers, launch_task_params, jobs_running_pipelines, upstream_levels,
     launch_plan, plan_summary, recheck, gate_of_requested, previous_runs_of_others, select_rows, status_with_few_signals,
     consecutive_failures, no_success_for, refresh_gaps, stream_refresh_state, gate_ticks,
-    dependency_cycles, impact_closure)
+    dependency_cycles, impact_closure, stream_flow_state, tracker_upsert_slots, stored_lineage_edges, stored_update_rows,
+    fresh_intervals, gate_as_of)

@@ -274,8 +274,12 @@ class Fixtures:
 
     @cached_property
     def table_lineage(self) -> DataFrame:
-        """Read for one workspace and 90 days, from a table that also holds another workspace, older days, a pipeline's
-        bookkeeping tables and self-edges."""
+        """Read for one workspace and 90 days."""
+        return platform.table_lineage(self.raw_lineage, NOW_MS, lookback_days=90, workspace_id="w-1")
+
+    @cached_property
+    def raw_lineage(self) -> DataFrame:
+        """A table that also holds another workspace, older days, a pipeline's bookkeeping tables and self-edges."""
         def day(ms):
             return F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast({ms} div {MS_PER_DAY} as int)"))
 
@@ -287,8 +291,7 @@ class Fixtures:
         own = some.where(F.col("entity_type") == "PIPELINE")
         bookkeeping = own.withColumn("target_table_full_name", F.lit("main.demo.__materialization_x"))
         loops = own.withColumn("source_table_full_name", F.col("target_table_full_name"))
-        raw = rows.unionByName(elsewhere).unionByName(earlier).unionByName(bookkeeping).unionByName(loops)
-        return platform.table_lineage(raw, NOW_MS, lookback_days=90, workspace_id="w-1")
+        return rows.unionByName(elsewhere).unionByName(earlier).unionByName(bookkeeping).unionByName(loops)
 
     @cached_property
     def view_deps(self) -> DataFrame:

@@ -14,7 +14,7 @@ def producer_since_ms(now_ms: int) -> int:
     return now_ms - PRODUCER_LOOKBACK_DAYS * MS_PER_DAY
 
 
-def _details(df: DataFrame) -> Column:
+def details(df: DataFrame) -> Column:
     """`details` as VARIANT, whether it is stored as VARIANT or as JSON text."""
     if isinstance(df.schema["details"].dataType, T.StringType):
         return F.parse_json("details")
@@ -33,13 +33,13 @@ def pipeline_events(raw: DataFrame, since_ms: int | None = None) -> DataFrame:
     if since_ms is not None:
         raw = raw.where(F.col("event_time") >= F.timestamp_millis(F.lit(since_ms)))
     return raw.select(F.col("origin.uc_table_id").alias("uc_table_id"), "event_type",
-                      F.variant_get(_details(raw), "$.flow_progress.status", "string").alias("status"),
+                      F.variant_get(details(raw), "$.flow_progress.status", "string").alias("status"),
                       timestamp_ms(F.col("event_time")).alias("ts_ms"))
 
 
 def flow_definitions(event_log: DataFrame) -> DataFrame:
     """Flow -> dataset it writes, from the event log of all pipelines; never limited in time."""
-    dataset = F.variant_get(_details(event_log), "$.flow_definition.output_dataset", "string")
+    dataset = F.variant_get(details(event_log), "$.flow_definition.output_dataset", "string")
     return (event_log.where(F.col("event_type") == "flow_definition")
             .select("pipeline_id", F.col("origin.flow_name").alias("flow_name"),
                     F.replace(dataset, F.lit("`"), F.lit("")).alias("dataset")))
@@ -50,15 +50,15 @@ def flow_progress(event_log: DataFrame, since_ms: int | None = None) -> DataFram
     rows = event_log.where(F.col("event_type") == "flow_progress")
     if since_ms is not None:
         rows = rows.where(F.col("timestamp") >= F.timestamp_millis(F.lit(since_ms)))
-    details = _details(event_log)
+    parsed = details(event_log)
 
     def count(metric):
-        return F.coalesce(F.variant_get(details, f"$.flow_progress.metrics.{metric}", "bigint"),
+        return F.coalesce(F.variant_get(parsed, f"$.flow_progress.metrics.{metric}", "bigint"),
                           F.lit(0).cast("bigint"))
 
     return rows.select(
         "pipeline_id", F.col("origin.flow_name").alias("flow_name"), F.col("origin.update_id").alias("update_id"),
-        F.variant_get(details, "$.flow_progress.status", "string").alias("status"),
+        F.variant_get(parsed, "$.flow_progress.status", "string").alias("status"),
         count("num_output_rows").alias("output_rows"), count("num_upserted_rows").alias("upserted_rows"),
         count("num_deleted_rows").alias("deleted_rows"), timestamp_ms(F.col("timestamp")).alias("ts_ms"))
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from refreshgate.session import build_session  # noqa: E402
+from refreshgate.session import build_session, remove_run_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = build_session(shuffle_partitions=4, spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_run_folder(session)
     session.stop()
