@@ -95,7 +95,7 @@ def arrange(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     """
     nodes = entities.select("entity").distinct()
     edges, seen = cut_counted(among(edges.select("entity", "upstream").distinct(), nodes), n=F.count(F.lit(1)))
-    settled, dropped, open_nodes, n_nodes, base, highest = [], None, nodes, None, 0, 0
+    all_edges, settled, dropped, open_nodes, n_nodes, base, highest = edges, [], None, nodes, None, 0, 0
     while seen["n"]:
         walks, walked = long_walks(edges)
         if n_nodes is not None and walked["n"] < n_nodes:  # some have no open upstream left
@@ -111,7 +111,9 @@ def arrange(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
         if walked["top"] != STEPS_PER_CUT - 1:  # every entity left waits for a cycle
             dropped = cut_lineage(_dropped_edges(edges))
             edges, seen = cut_counted(edges.join(dropped, ["entity", "upstream"], "left_anti"), n=F.count(F.lit(1)))
-            base = highest
+            settled_above = all_edges.join(open_nodes, "entity", "left_semi").join(
+                open_nodes.select(F.col("entity").alias("upstream")), "upstream", "left_anti")
+            base = highest if settled_above.isEmpty() else highest + 1
     if not settled or n_nodes:
         settled.append(open_nodes.select("entity", F.lit(base).alias("level")))
     levels = settled[0]
