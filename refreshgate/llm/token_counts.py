@@ -27,12 +27,16 @@ ROWS_PER_FILE = 50_000
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
     """Write flat token files under `path`; return doc_id with its place: shard (the writing task) and doc_no in it.
 
-    Special tokens in a text count as ordinary text, so that `end_id` stands only at ends. `docs` is read twice and must
+    Special tokens in a text count as ordinary text, so that `end_id` stands only at ends. A tokenizer with more ids than
+    `width` bytes can hold is an error. `docs` is read twice and must
     give the same rows in the same order, as a table of files does. A NULL text is written as an empty document.
     The text sink writes the bytes as they are, with the end id's bytes as its row separator, and compresses the files.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, True).encode
+        own = encoder(tokenizer, True)
+        if own.tokenizer.get_vocab_size() > 256 ** width:
+            raise ValueError(f"ids of {tokenizer} need more than {width} bytes")
+        encode = own.encode
         for batch in batches:
             for part in text_slices(batch):
                 made = [ids.astype(f"<u{width}").tobytes() for ids in encode([t or "" for t in part.column("text").to_pylist()])]

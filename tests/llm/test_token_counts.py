@@ -48,3 +48,8 @@ def test_a_compressed_file_that_ends_early(spark, tmp_path):
     (tmp_path / "part-00000-x-c000.txt.gz").write_bytes(gzip.compress(bytes(range(256)) * 40)[:-20])
     with pytest.raises(Exception, match="ends early"):
         token_counts.count_tokens(spark, str(tmp_path)).count()
+
+
+def test_ids_that_do_not_fit_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="need more than 1 bytes"):
+        token_counts.write_token_files(documents(spark), str(tmp_path / "narrow"), PATH, end_id=200, width=1)
