@@ -43,6 +43,27 @@ def test_state_stays_bounded_and_late_rows_are_dropped(spark, tmp_path):
     assert records(fs.read_flows(spark, f"{tmp_path}/state"), "dataset", "update_id", "output_rows") == [("d", "u8", 8)]
 
 
+def test_many_updates_share_slots(spark, tmp_path):
+    """Python is called per slot, not per update; updates of a slot are summed, kept and forgotten each by itself."""
+    def at(n, status, minute, rows=1):
+        return ("p", "f1", f"u{n:03d}", status, rows, None, 0, None if minute is None else HOUR + minute * 60_000)
+
+    batches = [[at(n, "RUNNING", n % 50) for n in range(200)] + [at(n, "COMPLETED", 40) for n in range(100)] + [at(7, "COMPLETED", None, 4)],
+               [at(150, "RUNNING", 100)], [at(150, "RUNNING", 101)],  # those completed are forgotten
+               [at(8, "COMPLETED", 90, 30), at(120, "COMPLETED", 90, 50), at(99, "RUNNING", 90)]]
+    stream = feed(spark, f"{tmp_path}/in", schemas.FLOW_PROGRESS, batches)
+    query = fs.track_flows(stream, relation(spark, schemas.FLOW_DEFINITIONS, FLOWS), f"{tmp_path}/state", f"{tmp_path}/cp", late_ms=HOUR // 2,
+                           keep_ms=HOUR // 6, n_slots=3, availableNow=True)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 3
+    changes = spark.read.parquet(f"{tmp_path}/state/changes/batch=0")
+    sums = [("u%03d" % n, HOUR + 40 * 60_000, 3 if n == 7 else 2, 6 if n == 7 else 2, 0) for n in range(100)]
+    assert records(changes, "update_id", "done_ms", "n_rows", "output_rows", "upserted_rows") == sums
+    last = {r["update_id"]: (r["n_rows"], r["output_rows"]) for r in spark.read.parquet(f"{tmp_path}/state/changes").where("done_ms > 6000000").collect()}
+    assert last == {"u008": (1, 30), "u120": (2, 51)}
+    assert records(fs.read_flows(spark, f"{tmp_path}/state"), "update_id", "output_rows") == [("u120", 51)]
+
+
 def test_job_runs_and_updates(spark, tmp_path):
     runs = [(1, 5, 10, 90, "SUCCESS", "TERMINATED"), (1, 6, 20, 40, "SUCCESS", "TERMINATED"), (1, 7, 30, None, None, "RUNNING"), (2, 8, 5, 6, "FAILED", "TERMINATED"),
             (2, 9, 4, 7, "SUCCESS", "INTERNAL_ERROR")]
