@@ -1,63 +1,45 @@
 """Which entities wait for each other, and which dependencies are given up so that they can be placed at all.
 
-Cycles are the strongly connected components of the dependency graph. Entities that no cycle passes are taken off from both
-ends first. Of the rest, every entity takes the largest name among all it waits for, itself included (its colour); an entity
-whose colour is its own name forms a component with those of its colour that it waits for in turn. Components found are taken
-out, and the rest starts anew. All steps are joins and aggregations over edges; a round settles at least the largest name.
+Cycles are the strongly connected components of the dependency graph. Two entities of one component wait for the same entities,
+and the same ones wait for them; so a dependency whose ends differ in the largest name among either is on no cycle and is cut.
+Once nothing is left to cut, the ends of all dependencies that hang together wait for one largest name, which waits for all of
+them: what hangs together is a component. Hashes of the names are orders like the names themselves; the more of them are
+followed at once, the more is cut in a round. All steps are joins and aggregations over edges.
 """
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from refreshgate.plans.ordering import STEPS_PER_CUT, among, arrange, long_walks
-from refreshgate.session import cut_counted, cut_lineage
+from refreshgate.plans.ordering import STEPS_PER_CUT, among, arrange
+from refreshgate.session import cut_counted
 
+N_ORDERS = 4  # that of the names, which alone makes it exact, and hashes that cut more at once
+UP, DOWN = ([f"{side}{k}" for k in range(N_ORDERS)] for side in ("up", "down"))
 
-def _on_both_sides(edges: DataFrame, n_edges: int) -> tuple[DataFrame, int]:
-    """Edges between entities that have long walks in both directions, as all on a cycle have, and their number."""
-    while n_edges:
-        before = n_edges
-        for _ in range(2):
-            walks, _ = long_walks(edges)
-            inner = among(edges, walks.where(F.col("steps") == STEPS_PER_CUT)).select(
-                F.col("upstream").alias("entity"), F.col("entity").alias("upstream"))  # the next pass goes the other way
-            edges, seen = cut_counted(inner, n=F.count(F.lit(1)))
-        n_edges = seen["n"]
-        if n_edges == before:
-            break
-    return edges, n_edges
 
+def _ranks(entity: str) -> list[Column]:
+    return [F.col(entity), *[F.xxhash64(entity, F.lit(k)) for k in range(1, N_ORDERS)]]
 
-def _colours(edges: DataFrame) -> DataFrame:
-    """entity -> the largest name among itself and all it waits for; every entity of `edges` has an upstream."""
-    colour = edges.select("entity").distinct().withColumn("colour", F.col("entity"))
-    while True:
-        last = colour
-        for _ in range(STEPS_PER_CUT):
-            upstream = colour.select(F.col("entity").alias("upstream"), F.col("colour").alias("other"))
-            colour = edges.join(upstream, "upstream").groupBy("entity").agg(F.max("other").alias("other")).select(
-                "entity", F.greatest("entity", "other").alias("colour"))
-        colour, seen = cut_counted(colour.join(last.withColumnRenamed("colour", "was"), "entity"),
-                                   moved=F.count_if(F.col("colour") != F.col("was")))
-        colour = colour.select("entity", "colour")
-        if not seen["moved"]:
-            return colour
 
-
-def _waited_for(edges: DataFrame, colour: DataFrame) -> DataFrame:
-    """(entity, colour) of entities that the one named by their colour waits for, that one included."""
-    near = colour.select(F.col("entity").alias("upstream"), F.col("colour").alias("other"))
-    same = cut_lineage(edges.join(colour, "entity").join(near, "upstream").where(F.col("colour") == F.col("other")).select(
-        "entity", "upstream"))
-    hit = colour.select("entity", "colour", (F.col("entity") == F.col("colour")).alias("hit"))
-    n_hit = None
-    while True:
-        for _ in range(STEPS_PER_CUT):
-            further = same.join(hit.where("hit").select("entity"), "entity").select(F.col("upstream").alias("entity")).distinct()
-            hit = colour.join(further.withColumn("further", F.lit(True)), "entity", "left").select(
-                "entity", "colour", (F.col("further").isNotNull() | (F.col("entity") == F.col("colour"))).alias("hit"))
-        hit, seen = cut_counted(hit, n=F.count_if("hit"))
-        if seen["n"] == n_hit:
-            return hit.where("hit").select("entity", "colour")
-        n_hit = seen["n"]
+def _largest(edges: DataFrame) -> DataFrame:
+    """entity -> the largest of each order among itself and all it waits for (UP), and among itself and all that wait for
+    it (DOWN); of every entity that `edges` name."""
+    own = edges.select("entity").union(edges.select("upstream")).distinct()
+    links = cut_counted(
+        edges.select("entity", F.col("upstream").alias("other"), F.lit(True).alias("is_up"), F.lit(False).alias("is_down"))
+        .union(edges.select("upstream", "entity", F.lit(False), F.lit(True)))
+        .union(own.select("entity", "entity", F.lit(True), F.lit(True))), n=F.count(F.lit(1)))[0]
+    largest = links.where(F.col("is_up") & F.col("is_down")).select(
+        "entity", *[rank.alias(c) for side in (UP, DOWN) for rank, c in zip(_ranks("entity"), side)])
+    itself, moved = F.col("is_up") & F.col("is_down"), 1
+    best = [F.max(F.when(F.col("is_up"), F.col(c))).alias(c) for c in UP] + [F.max(F.when(F.col("is_down"), F.col(c))).alias(c) for c in DOWN]
+    was = [F.max(F.when(itself, F.col(c))).alias(f"was_{c}") for c in UP + DOWN]
+    while moved:
+        for step in range(STEPS_PER_CUT):
+            met = links.join(largest.withColumnRenamed("entity", "other"), "other")
+            largest = met.groupBy("entity").agg(*best, *(was if step == STEPS_PER_CUT - 1 else []))
+        differs = [F.col(c) != F.col(f"was_{c}") for c in UP + DOWN]
+        largest, seen = cut_counted(largest, moved=F.count_if(F.greatest(*differs)))
+        largest, moved = largest.select("entity", *UP, *DOWN), seen["moved"]
+    return largest
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
@@ -66,23 +48,18 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     Cycles that share an entity are one.
     """
     left, seen = cut_counted(edges.where(F.col("entity") != F.col("upstream")).select("entity", "upstream").distinct(), n=F.count(F.lit(1)))
-    n_left, found = seen["n"], []
+    n_left = seen["n"]
     while n_left:
-        left, n_left = _on_both_sides(left, n_left)
-        if not n_left:
-            break
-        done = cut_lineage(_waited_for(left, _colours(left)))
-        found.append(done)
-        rest = left.join(done, "entity", "left_anti").join(done.select(F.col("entity").alias("upstream")), "upstream", "left_anti")
-        left, seen = cut_counted(rest.select("entity", "upstream"), n=F.count(F.lit(1)))
+        largest = _largest(left)
+        upper = largest.select(F.col("entity").alias("upstream"), *[F.col(c).alias(f"of_{c}") for c in UP + DOWN])
+        same = [F.col(c) == F.col(f"of_{c}") for c in UP + DOWN]
+        left, seen = cut_counted(left.join(largest, "entity").join(upper, "upstream").where(F.least(*same)).select("entity", "upstream"),
+                                 n=F.count(F.lit(1)))
+        if seen["n"] == n_left:
+            named = largest.groupBy(UP[0]).agg(F.min("entity").alias("cycle"))
+            return largest.select("entity", UP[0]).join(named, UP[0]).select("entity", "cycle")
         n_left = seen["n"]
-    if not found:
-        return left.select("entity", F.col("upstream").alias("cycle"))
-    members = found[0]
-    for more in found[1:]:
-        members = members.unionByName(more)
-    named = members.groupBy("colour").agg(F.min("entity").alias("cycle"), F.count("*").alias("n")).where("n > 1")
-    return members.join(named, "colour").select("entity", "cycle")
+    return left.select("entity", F.col("upstream").alias("cycle"))
 
 
 def dependency_cycles(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -46,6 +46,15 @@ def test_members(spark, kind):
     assert records(cycles.cycle_members(relation(spark, EDGES, edges + edges[:3])), "entity", "cycle") == plain_members(edges)
 
 
+def test_cycles_in_a_row_are_found_at_once(spark, monkeypatch):
+    """Of 12 cycles of which each waits for the next, the last has the largest names."""
+    edges = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(23)] + [(f"n{k + 1:02d}", f"n{k:02d}") for k in range(0, 24, 2)]
+    cuts, cut = [], cycles.cut_counted
+    monkeypatch.setattr(cycles, "cut_counted", lambda *a, **b: cuts.append(1) or cut(*a, **b))
+    assert records(cycles.cycle_members(relation(spark, EDGES, edges)), "entity", "cycle") == plain_members(edges)
+    assert len(cuts) <= 20
+
+
 def test_dependency_cycles(spark):
     edges = [("a", "b"), ("b", "a"), ("c", "a"), ("k", "p"), ("p", "q"), ("q", "p"), ("p", "gone")]
     entities = relation(spark, "entity string", [(e,) for e in "abckpqz"])
