@@ -71,25 +71,35 @@ def target_counts(targets: DataFrame) -> DataFrame:
     return targets.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n_tables"))
 
 
-def latest_write_edges(pipelines: DataFrame, owned: DataFrame, table_lineage: DataFrame) -> DataFrame:
+def latest_write_edges(pipelines: DataFrame, owned: DataFrame, table_lineage: DataFrame,
+                       facts: DataFrame | None = None) -> DataFrame:
     """(entity, target, source) of each owned table's latest write, with the time the edge was last seen.
 
-    Raw lineage is scanned once and reduced to (pipeline, target, run, source); both the choice of the latest run and
-    its sources come from that reduction.
+    Raw lineage is never shuffled as a whole: the time of each pair's latest write is in its `lineage_facts`, the rows of
+    that time name the run, and the rows of that run its sources. Both are picked by joins with a row per pair or run.
     """
-    reduced = (table_lineage
-               .where((F.col("entity_type") == "PIPELINE") & F.col("entity_run_id").isNotNull()
-                      & F.col("target_table_full_name").isNotNull())
-               .groupBy(F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("target"),
-                        F.col("entity_run_id").alias("run_id"), F.col("source_table_full_name").alias("source"))
-               .agg(F.max("ts_ms").alias("seen_ms")))
-    newest = reduced.groupBy("pipeline_id", "target").agg(F.max(F.struct("seen_ms", "run_id")).alias("run"))
+    facts = lineage_facts(table_lineage) if facts is None else facts
+    runs = table_lineage.where((F.col("entity_type") == "PIPELINE") & F.col("entity_run_id").isNotNull()
+                               & F.col("target_table_full_name").isNotNull()).select(
+        F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("target"),
+        F.col("entity_run_id").alias("run_id"), F.col("source_table_full_name").alias("source"), F.col("ts_ms").alias("seen_ms"))
     targets = owned.withColumnRenamed("table_name", "target")
+    last = facts.where((F.col("entity_type") == "PIPELINE") & F.col("has_run")).select(
+        F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("target"), F.col("run_ts_ms").alias("last_ms"))
+    wanted = pipelines.join(last, "pipeline_id").join(targets, ENTITY + ["target"], "left_semi").select(
+        F.col("pipeline_id").alias("of"), F.col("target").alias("into"), "last_ms").distinct()
+    newest = (runs.join(cut_lineage(wanted), (F.col("pipeline_id") == F.col("of")) & (F.col("target") == F.col("into"))
+                        & F.col("seen_ms").eqNullSafe(F.col("last_ms")), "left_semi")
+              .select("pipeline_id", "target", "run_id", "seen_ms").distinct()
+              .groupBy("pipeline_id", "target").agg(F.max(F.struct("seen_ms", "run_id")).alias("run")))
     latest = (pipelines.join(newest, "pipeline_id").join(targets, ENTITY + ["target"], "left_semi")
               .groupBy(*ENTITY, "target").agg(F.max("run").alias("run"))
               .select(*ENTITY, "target", F.col("run.run_id").alias("run_id")))
-    chosen = latest.join(pipelines, ENTITY)
-    return (chosen.join(reduced, ["pipeline_id", "target", "run_id"])
+    chosen = cut_lineage(latest.join(pipelines, ENTITY))
+    written = ["pipeline_id", "target", "run_id"]
+    reduced = (runs.join(chosen.select(*written).distinct(), written, "left_semi")
+               .groupBy(*written, "source").agg(F.max("seen_ms").alias("seen_ms")))
+    return (chosen.join(reduced, written)
             .where(F.col("source").isNotNull() & (F.col("source") != F.col("target")))
             .groupBy(*ENTITY, "target", "source").agg(F.max("seen_ms").alias("seen_ms")))
 
@@ -183,20 +193,19 @@ def source_producers(tables: DataFrame, table_lineage: DataFrame, table_meta: Da
 
 
 def lineage_facts(table_lineage: DataFrame) -> DataFrame:
-    """Lineage reduced on the map side to one row per writer, run, target and source with its latest time, in the columns of
-    lineage itself. A job's runs and sources are not told apart: only its latest write of a table matters."""
-    by_pipeline = F.col("entity_type") == "PIPELINE"
+    """Lineage reduced on the map side to one row per writer and target with its latest time (ts_ms), that of rows with a run
+    id (run_ts_ms), and whether there are any (has_run). A maximum of numbers, so that nothing is sorted."""
+    has_run = F.col("entity_run_id").isNotNull()
     return (table_lineage.where(F.col("entity_type").isin("PIPELINE", "JOB") & F.col("target_table_full_name").isNotNull())
-            .groupBy("entity_type", "entity_id", F.when(by_pipeline, F.col("entity_run_id")).alias("entity_run_id"),
-                     F.when(by_pipeline, F.col("source_table_full_name")).alias("source_table_full_name"), "target_table_full_name")
-            .agg(F.max("ts_ms").alias("ts_ms")))
+            .groupBy("entity_type", "entity_id", "target_table_full_name")
+            .agg(F.max("ts_ms").alias("ts_ms"), F.max(F.when(has_run, F.col("ts_ms"))).alias("run_ts_ms"), F.max(has_run).alias("has_run")))
 
 
 class Discovery:
     """The steps from entities to their sources, each worked out when it is first asked for.
 
-    Raw lineage is read once, for its facts; these, and the targets, edges and sources, are written out, since later steps
-    use them many times.
+    Raw lineage is read for its facts and twice for the edges, each time without a shuffle of its rows; the facts, targets,
+    edges and sources are written out, since later steps use them many times.
     """
 
     def __init__(self, entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
@@ -223,7 +232,7 @@ class Discovery:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut_lineage(latest_write_edges(self.pipelines, self.owned, self.facts))
+        return cut_lineage(latest_write_edges(self.pipelines, self.owned, self.table_lineage, self.facts))
 
     @cached_property
     def final(self) -> DataFrame:

@@ -106,3 +106,22 @@ def test_a_long_chain_of_views_is_followed_to_its_table(spark):
     rows = meta(spark, *[(n, "VIEW", None, None) for n in names], ("t", "MANAGED", None, None))
     got = lineage.expand_views(relation(spark, "table_name string", [(names[0],)]), rows, relation(spark, schemas.VIEW_DEPS, deps))
     assert records(got) == [(names[0], "t", "TABLE")]
+
+
+def test_facts_are_a_row_per_writer_and_target(spark):
+    """However many runs and sources a table has; the edges are still those of the latest run, ties and NULLs included."""
+    def row(pipeline, run, source, target, ts, kind="PIPELINE"):
+        return ("w", kind, pipeline, run, source, target, ts, None)
+
+    rows = [row("p1", f"r{n:03d}", f"s{n % 7}", "t1", n) for n in range(150)]
+    rows += [row("p1", "r149", "early", "t1", 3), row("p1", "r149", "t1", "t1", 149), row("p1", "r149", None, "t1", 149), row("p1", None, "no run", "t1", 900)]
+    rows += [row("p1", "ra", "a", "t2", 50), row("p2", "rb", "b", "t2", 50), row("p2", "rb", "c", "t2", None), row("p2", "rc", "d", "t2", None)]
+    rows += [row("p1", "rx", "x", "t3", None), row("p1", "ry", "y", "t3", None), row("p1", None, "z", "t4", 5), row("9", "r", "j", "t1", 7, "JOB"), row("9", "q", "k", "t1", 8, "JOB")]
+    facts = lineage.lineage_facts(relation(spark, schemas.TABLE_LINEAGE, rows))
+    columns = ("entity_id", "target_table_full_name", "ts_ms", "run_ts_ms", "has_run")
+    assert records(facts, *columns) == sorted([("p1", "t1", 900, 149, True), ("p1", "t2", 50, 50, True), ("p2", "t2", 50, 50, True), ("p1", "t3", None, None, True),
+                                               ("p1", "t4", 5, None, False), ("9", "t1", 8, 8, True)], key=repr)
+    pipelines = relation(spark, "entity_type string, entity_name string, pipeline_id string", [("JOB", "J", "p1"), ("JOB", "J", "p2")])
+    owned = relation(spark, "entity_type string, entity_name string, table_name string", [("JOB", "J", f"t{n}") for n in (1, 2, 3, 4)])
+    edges = lineage.latest_write_edges(pipelines, owned, relation(spark, schemas.TABLE_LINEAGE, rows))
+    assert records(edges, "target", "source", "seen_ms") == [("t1", "early", 3), ("t1", "s2", 149), ("t2", "b", 50), ("t2", "c", None), ("t3", "y", None)]
