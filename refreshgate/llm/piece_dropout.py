@@ -6,10 +6,12 @@ the document's id and the candidate falls below the rate, so a document's segmen
 always the same for one seed, on any machine and in any batch.
 
 No piece has a blank after another character, so each run of blanks and what follows it up to the next blank is merged
-by itself. The agendas of all such chunks of a batch are processed together, one merge of each chunk a round; chunks
-longer than LONG_CHUNK have an agenda (a heap) of their own.
+by itself. The agendas of all such chunks of a batch are processed together, one merge of each chunk a round, after which
+only the two pairs beside the merged symbol are judged anew; chunks longer than LONG_CHUNK have an agenda (a heap) of
+their own.
 """
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,7 @@ BLANK = "▁"
 SLICE = 1 << 20
 LONG_CHUNK = 48
 NO_RANK = np.int64(1) << 40
+NO_PAIR = np.iinfo(np.int64).max
 UNKNOWN = -1
 #: Odd constants of a 64-bit mixing function. Fixed values.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -34,14 +37,24 @@ def _mixed(h):
     return h ^ (h >> np.uint64(31))
 
 
-def dropped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the candidates joining [start, middle) and [middle, end) are skipped."""
+def _places(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What the hashes of all candidates that begin at `start` have in common."""
+    with np.errstate(over="ignore"):
+        return _mixed(key + start.astype(np.uint64) * MIX[0])
+
+
+def _dropped_at(place: np.ndarray, first: np.ndarray, whole: np.ndarray, rate: float) -> np.ndarray:
+    """Whether candidates are skipped, by their place and the characters in their first symbol and in both."""
     if rate <= 0:
-        return np.zeros(len(start), bool)
+        return np.zeros(len(place), bool)
     with np.errstate(over="ignore"):
-        place = _mixed(key + start.astype(np.uint64) * MIX[0]) + (middle - start).astype(np.uint64) * MIX[1]
-        hashed = _mixed(place + (end - start).astype(np.uint64) * MIX[2])
-    return (hashed >> np.uint64(11)).astype(float) < rate * 2.0 ** 53
+        hashed = _mixed(place + first.astype(np.uint64) * MIX[1] + whole.astype(np.uint64) * MIX[2])
+    return (hashed >> np.uint64(11)) < np.uint64(math.ceil(rate * 2.0 ** 53))
+
+
+def dropped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the candidates joining [start, middle) and [middle, end) are skipped."""
+    return _dropped_at(_places(key, start), middle - start, end - start, rate)
 
 
 def document_keys(ids: list, seed: int) -> np.ndarray:
@@ -77,7 +90,7 @@ class Pieces:
             if len(name) == 1:
                 of_char[ord(name)] = i
         of_char[ord(" ")], of_char[ord(BLANK)] = of_char[ord(BLANK)], UNKNOWN
-        splits = {(symbol[n[:k]] * size + symbol[n[k:]]): i for n, i in symbol.items() for k in range(1, len(n))
+        splits = {((symbol[n[:k]] + 1) * (size + 1) + symbol[n[k:]] + 1): i for n, i in symbol.items() for k in range(1, len(n))
                   if n[:k] in symbol and n[k:] in symbol}
         bits = (4 * len(splits)).bit_length()
         keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
@@ -96,18 +109,19 @@ class Pieces:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The symbol that each pair of symbols joins to, UNKNOWN if none."""
-        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * len(self.text) + right, np.int64(-2))
+        key = (left.astype(np.int64) + 1) * (len(self.text) + 1) + right + 1  # no pair has a key with UNKNOWN in it
         bits = (len(self.pair_keys) - 1).bit_length()
         with np.errstate(over="ignore"):
-            place = ((key.astype(np.uint64) * MIX[0]) >> np.uint64(64 - bits)).astype(np.int64)
-        out = np.full(len(key), UNKNOWN, np.int32)
-        open_ = np.flatnonzero(key >= 0)
+            place = ((key.view(np.uint64) * MIX[0]) >> np.uint64(64 - bits)).view(np.int64)
+        found = self.pair_keys.take(place)
+        out = np.where(found == key, self.pair_symbols.take(place), np.int32(UNKNOWN))
+        open_ = np.flatnonzero((found != key) & (found >= 0))
         while len(open_):
+            place[open_] = (place[open_] + 1) % len(self.pair_keys)
             found = self.pair_keys[place[open_]]
             hit = found == key[open_]
             out[open_[hit]] = self.pair_symbols[place[open_[hit]]]
             open_ = open_[~hit & (found >= 0)]
-            place[open_] = (place[open_] + 1) % len(self.pair_keys)
         return out
 
 
@@ -177,41 +191,61 @@ def encode(model: Pieces, texts: list[str], keys: np.ndarray, rate: float) -> li
         for s, at in _one_agenda(model, symbol[a:a + lengths[one]].tolist(), key[a], first, rate):
             final[at + origin[a]] = s
     live = np.flatnonzero(lengths[chunk] <= LONG_CHUNK)
+    place = _places(key, begin - origin)
     symbol, begin, stop, chunk = symbol[live], begin[live], stop[live], chunk[live]
+    joined = np.full(len(live), UNKNOWN, np.int32)  # the symbol that each one and the next join to
+    order = np.full(len(live), NO_PAIR)  # rank of that symbol, then place: the least of a chunk is merged next
+
+    def judge(left: np.ndarray) -> None:
+        """Enter the pairs of `left` and what follows, which are in one chunk."""
+        into = model.merged(symbol.take(left), symbol.take(left + 1))
+        order[left] = NO_PAIR
+        can = np.flatnonzero(into >= 0)
+        left, into = left.take(can), into.take(can)
+        at = begin.take(left)
+        can = np.flatnonzero(~_dropped_at(place.take(at), stop.take(left) - at, stop.take(left + 1) - at, rate))
+        left, into = left.take(can), into.take(can)
+        joined[left], order[left] = into, (model.rank.take(into) << np.int64(31)) + at.take(can)
+
+    if len(live):
+        judge(np.flatnonzero(chunk[1:] == chunk[:-1]))
+    first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(live) else live
+    count = np.diff(np.append(first, len(live)))
     while len(symbol):
-        same = np.concatenate((chunk[1:] == chunk[:-1], [False]))
-        left = np.flatnonzero(same)
-        joined = model.merged(symbol[left], symbol[left + 1])
-        left, joined = left[joined >= 0], joined[joined >= 0]
-        at = begin[left]
-        skip = dropped(key[at], at - origin[at], begin[left + 1] - origin[at], stop[left + 1] - origin[at], rate)
-        left, joined = left[~skip], joined[~skip]
-        heads = np.concatenate(([True], chunk[1:] != chunk[:-1]))
-        number = np.cumsum(heads) - 1
-        best = np.full(number[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, number[left], (model.rank[joined] << np.int64(31)) + np.arange(len(left)))
-        busy = best < np.iinfo(np.int64).max
-        rest = ~busy[number]
+        best = np.minimum.reduceat(order, first)
+        best_of = np.repeat(best, count)
+        rest = best_of == NO_PAIR
         final[begin[rest]] = symbol[rest]
-        pick = best[busy] & np.int64((1 << 31) - 1)
-        a = left[pick]
-        symbol[a], stop[a] = joined[pick], stop[a + 1]
+        a = np.flatnonzero((order == best_of) & ~rest)
+        symbol[a], stop[a] = joined[a], stop[a + 1]
         keep = ~rest
         keep[a + 1] = False
-        symbol, begin, stop, chunk = symbol[keep], begin[keep], stop[keep], chunk[keep]
+        now = np.cumsum(keep) - 1  # where each kept one moves to
+        a, kept = now[a], np.flatnonzero(keep)
+        symbol, begin, stop, joined, order = (x.take(kept) for x in (symbol, begin, stop, joined, order))
+        busy = best < NO_PAIR
+        count = count[busy] - 1
+        ends = np.cumsum(count)
+        first = ends - count
+        order[a] = NO_PAIR
+        judge(np.concatenate((a[a + 1 < ends], a[a > first] - 1)))
     return _with_bytes(model, cp, final, edges)
 
 
 def _with_bytes(model: Pieces, cp: np.ndarray, final: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     places = np.flatnonzero(final > -2)
     ids, strange = final[places], np.flatnonzero(final[places] == UNKNOWN)
-    spelled = [chr(c).encode() for c in cp[places[strange]]]
+    chars, which = np.unique(cp[places[strange]], return_inverse=True)
+    spelled = [chr(c).encode() for c in chars]
+    sizes = np.array([len(b) for b in spelled], np.int64)
     width = np.ones(len(ids), np.int64)
-    width[strange] = [len(b) for b in spelled]
+    width[strange] = sizes[which]
     out = np.repeat(ids, width)
     starts = np.cumsum(width) - width
-    for at, own in zip(starts[strange], spelled):
-        out[at:at + len(own)] = model.byte_ids[list(own)]
+    for k in range(4):
+        long = np.flatnonzero(sizes[which] > k)
+        own = np.array([model.byte_ids[b[k]] if len(b) > k else 0 for b in spelled], np.int32)
+        out[starts[strange[long]] + k] = own[which[long]]
     ends = np.concatenate(([0], np.cumsum(width)))[np.searchsorted(places, edges)]
     return [out[a:b] for a, b in zip(ends, ends[1:])]
 
@@ -221,6 +255,21 @@ def decode(model: Pieces, ids: list[int]) -> str:
     return b"".join(map(model.text.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+def decode_all(model: Pieces, ids: pa.ListArray) -> pa.Array:
+    """`decode` of every list; NULL gives an empty text."""
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    _, offsets, data = pa.array(model.text, pa.large_binary()).take(ids.flatten()).buffers()
+    edges = np.frombuffer(offsets, np.int64)[np.concatenate(([0], np.cumsum(sizes)))]
+    data, some = np.frombuffer(data, np.uint8)[:edges[-1]], edges[1:] > edges[:-1]
+    data = np.delete(data, edges[:-1][some])  # without the blank put before each text
+    edges = edges - np.concatenate(([0], np.cumsum(some)))
+    found = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    try:
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that spell no text
+        return pa.array([b.decode("utf-8", "replace") for b in found.to_pylist()], pa.string())
+
+
 def encoded(docs: DataFrame, path: str, seed: int, rate: float = 0.1) -> DataFrame:
     """doc_id, text, ids of every row of `docs` (doc_id, text); a NULL or empty text has no ids.
 
@@ -245,10 +294,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            own = batch.column("ids")
-            flat, ends = own.flatten().to_numpy(zero_copy_only=False), np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            texts = [decode(model, flat[a:b].tolist()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            yield batch.append_column("decoded", decode_all(model, batch.column("ids")))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return map_batches(rows, run, f"{schema}, decoded string")

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from edges import TEXTS, documents, nothing
 from sentencepiece import SentencePieceProcessor
@@ -57,6 +58,24 @@ def test_agenda_against_a_slow_loop(rate, long_chunk, monkeypatch):
     assert [f.tolist() for f in found] == [slow(model, t, k, rate) for t, k in zip(texts, keys)]
 
 
+def test_pairs_are_looked_up_once_and_then_beside_each_merge(monkeypatch):
+    model, looked, merged = pd_.pieces(PATH), [], pd_.Pieces.merged
+    monkeypatch.setattr(pd_.Pieces, "merged", lambda self, left, right: looked.append(len(left)) or merged(self, left, right))
+    texts = ["internationalization of characteristics " * 50]
+    ids, = pd_.encode(model, texts, pd_.document_keys([1], 3), 0.1)
+    chars = len(texts[0]) + 1
+    assert sum(looked) <= chars + 2 * (chars - len(ids))
+
+
+def test_lists_are_decoded_as_one_by_one():
+    model = pd_.pieces(PATH)
+    ids = [i.tolist() for i in pd_.encode(model, SAMPLES, pd_.document_keys([None] * len(SAMPLES), 1), 0.3)]
+    ids += [[], [int(model.byte_ids[0xC3])] * 2, None]
+    lists = pa.array([[1], *ids], pa.list_(pa.int32()))[1:]
+    assert pd_.decode_all(model, lists).to_pylist() == [pd_.decode(model, i or []) for i in ids]
+    assert pd_.decode_all(model, lists[:len(SAMPLES)]).to_pylist() == SAMPLES
+
+
 def test_lossless_and_varied():
     model = pd_.pieces(PATH)
     seen = set()
