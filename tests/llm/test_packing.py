@@ -9,7 +9,7 @@ from edges import documents, nothing
 from tokenizers import Tokenizer
 
 from refreshgate.llm import packing
-from refreshgate.llm.tokens import encoder
+from refreshgate.llm.tokens import Encoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -68,6 +68,22 @@ def test_encoder_is_the_tokenizer():
         assert [x.tolist() for x in encoder(PATH).encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_lines_and_words_are_encoded_apart():
+    texts = ["one two.\nThree, four\nfive\n\nsix\r\nseven 8\n9", "\n", "\na\n", "a\n b", "é\u00a0b à\nà ü\u00a0 \u00a0", "x\u2028y z\x1c\nw", ".\n. ,\n!"]
+    plain, own = Tokenizer.from_file(PATH), Encoder(PATH)
+    for some in (texts, texts[::-1], ["", *texts, "a\n<|endoftext|> b"], []):
+        assert [x.tolist() for x in own.encode(some)] == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+
+
+def test_words_at_line_breaks_are_learned_once():
+    words = ["".join(random.Random(k).choices("abcdefgh", k=6)) for k in range(40)]
+    own = Encoder(PATH)
+    own.encode([" ".join(words), "\n".join(words[:1] + words)])
+    before = len(own.known)
+    own.encode([f"x {a}\n{b}" for a in words for b in words])
+    assert len(own.known) <= before + 1
+
+
 def test_pack(spark):
     docs = documents(spark)
     rows = packing.pack(docs, PATH).collect()
