@@ -279,19 +279,27 @@ class Fixtures:
 
     @cached_property
     def raw_lineage(self) -> DataFrame:
-        """A table that also holds another workspace, older days, a pipeline's bookkeeping tables and self-edges."""
+        """A table that also holds another workspace, older days, a pipeline's bookkeeping tables and self-edges. Each row
+        of the test table is read once."""
         def day(ms):
             return F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast({ms} div {MS_PER_DAY} as int)"))
 
-        rows = self.view("table_lineage").select(F.lit("w-1").alias("workspace_id"), "*", day("ts_ms").alias("event_date"))
-        some = rows.where(F.col("source_table_full_name").endswith("7"))
-        elsewhere = some.withColumns({"workspace_id": F.lit("w-2"), "target_table_full_name": F.lit("main.demo.t1")})
-        earlier = some.withColumns({"ts_ms": F.col("ts_ms") - 200 * MS_PER_DAY, "event_date": day(f"(ts_ms - {200 * MS_PER_DAY})"),
-                                    "source_table_full_name": F.lit("main.demo.old")})
-        own = some.where(F.col("entity_type") == "PIPELINE")
-        bookkeeping = own.withColumn("target_table_full_name", F.lit("main.demo.__materialization_x"))
-        loops = own.withColumn("source_table_full_name", F.col("target_table_full_name"))
-        return rows.unionByName(elsewhere).unionByName(earlier).unionByName(bookkeeping).unionByName(loops)
+        source, target, ts_ms = (F.col(c) for c in ("source_table_full_name", "target_table_full_name", "ts_ms"))
+
+        def copy(workspace="w-1", source=source, target=target, ts_ms=ts_ms):
+            return F.struct(F.lit(workspace).alias("workspace_id"), source.alias("source_table_full_name"),
+                            target.alias("target_table_full_name"), ts_ms.alias("ts_ms"))
+
+        others = [copy(), copy("w-2", target=F.lit("main.demo.t1")),
+                  copy(source=F.lit("main.demo.old"), ts_ms=ts_ms - 200 * MS_PER_DAY)]
+        own = [copy(target=F.lit("main.demo.__materialization_x")), copy(source=target)]
+        some = source.endswith("7")
+        copies = (F.when(some & (F.col("entity_type") == "PIPELINE"), F.array(*others, *own)).when(some, F.array(*others))
+                  .otherwise(F.array(copy())))
+        entity = ["entity_type", "entity_id", "entity_run_id"]
+        rows = self.view("table_lineage").select(*entity, F.explode(copies).alias("copy")).select(*entity, "copy.*")
+        return rows.select("workspace_id", "source_table_full_name", "target_table_full_name", *entity, "ts_ms",
+                           day("ts_ms").alias("event_date"))
 
     @cached_property
     def view_deps(self) -> DataFrame:

@@ -22,9 +22,10 @@ def store_lineage(raw: DataFrame, path: str) -> None:
     """Keep raw lineage by workspace and day; days given again replace those kept. A day is sorted by target, so that row
     groups of other targets are passed over. Rows without a day go to a partition of their own, which no lookback reads.
 
-    A day may be most of the data: its rows are dealt by target and source.
+    A day's rows are brought together and written by as many tasks as its size asks for (adaptive execution parts large days
+    and puts small ones together), so that the files follow the data and not the number of days times that of tasks.
     """
-    dealt = raw.repartition("workspace_id", "event_date", "target_table_full_name", "source_table_full_name")
+    dealt = raw.hint("rebalance", F.col("workspace_id"), F.col("event_date"))
     _write(dealt.sortWithinPartitions("workspace_id", "event_date", "target_table_full_name"), path, "workspace_id", "event_date")
 
 

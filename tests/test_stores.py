@@ -7,6 +7,7 @@ from helpers import ms, records, relation
 from refreshgate import schemas
 from refreshgate.operators import signals as sig
 from refreshgate.sources import platform, stores
+from refreshgate.sources.fixtures import BASE_SCHEMAS, Fixtures
 
 TODAY = ms("2024-03-01 00:00")
 
@@ -37,6 +38,22 @@ def test_lineage_of_other_days_is_not_opened(spark, tmp_path):
     assert some.count() == 6 and "dynamicpruning" in plan_of(some).lower()
 
 
+def test_a_small_day_is_one_file(spark, tmp_path):
+    stores.store_lineage(lineage(spark, range(1, 29)), str(tmp_path / "lineage"))
+    assert len(list(tmp_path.glob("lineage/*/*/*.parquet"))) == 28 * 2
+
+
+def test_raw_lineage_is_one_scan(spark, tmp_path):
+    items = [(o, p, s) for o in (1, 51, 7000) for p in (7, 8, 107, None) for s in (1, 4, 9)]
+    relation(spark, BASE_SCHEMAS["lineitem"], items).write.parquet(str(tmp_path / "lineitem.parquet"))
+    raw = Fixtures(spark, str(tmp_path)).raw_lineage
+    assert plan_of(raw).count("Scan parquet") == 1
+    # of the 18 rows whose source ends in 7, 6 are a pipeline's; each has two more copies, and those two beyond that
+    assert raw.count() == 36 + 18 * 2 + 6 * 2 and raw.where("workspace_id = 'w-2'").count() == 18
+    assert raw.where("source_table_full_name = target_table_full_name").count() == 6
+    assert raw.where("source_table_full_name = 'main.demo.old' and event_date < date'2024-01-01'").count() == 18
+
+
 def test_details_are_read_as_typed_leaves(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = [("p", "2024-02-01 00:00:00", "flow_progress", ("f", "u"), '{"flow_progress": {"status": "COMPLETED", "metrics": {"num_output_rows": 7}}}'),
