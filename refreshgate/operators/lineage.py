@@ -1,6 +1,7 @@
 """From lineage to tracker rows, for all entities in one plan: what an entity owns, reads and finally writes, and what
 produces its sources."""
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,13 +44,13 @@ def lineage_targets(pipelines: DataFrame, table_lineage: DataFrame, table_meta:
     """Tables the entities' pipelines wrote, OWNED or IGNORED with a reason.
 
     A table is owned when a pipeline of the same entity manages it now. Raw lineage is reduced to distinct (pipeline,
-    target) pairs before any join.
+    target) pairs before any join, and metadata to the tables among them.
     """
     written = (table_lineage.where((F.col("entity_type") == "PIPELINE") & F.col("target_table_full_name").isNotNull())
                .select(F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("table_name"))
                .where(~is_bookkeeping(F.col("table_name"))).distinct())
-    candidates = pipelines.join(written, "pipeline_id").select(*ENTITY, "table_name").distinct()
-    meta = table_meta.select("table_name", F.col("pipeline_id").alias("owner"), "access", F.lit(True).alias("known"))
+    candidates = cut_lineage(pipelines.join(written, "pipeline_id").select(*ENTITY, "table_name").distinct())
+    meta = table_meta.join(candidates.select("table_name").distinct(), "table_name", "left_semi").select("table_name", F.col("pipeline_id").alias("owner"), "access", F.lit(True).alias("known"))
     managers = pipelines.select(*ENTITY, F.col("pipeline_id").alias("owner"), F.lit(True).alias("managed"))
     # an unowned table looks up a key of its own, so that NULL owners do not all meet in one partition
     owner_key = F.coalesce(F.col("owner"), F.concat(F.lit("\u0000"), "table_name")).alias("owner_key")
@@ -76,29 +77,41 @@ def latest_write_edges(pipelines: DataFrame, owned: DataFrame, table_lineage: Da
     """(entity, target, source) of each owned table's latest write, with the time the edge was last seen.
 
     Raw lineage is never shuffled as a whole: the time of each pair's latest write is in its `lineage_facts`, the rows of
-    that time name the run, and the rows of that run its sources. Both are picked by joins with a row per pair or run.
+    that time name the run, and the rows of that run its sources. Both are picked by joins with a row per pair or run, each
+    after a join by the time or the run's hash alone, which few rows pass. The second join is null-safe and its result is
+    written, since Spark would ask the keys of later joins to be not null before the first one, and so look at all columns
+    of all rows.
     """
     facts = lineage_facts(table_lineage) if facts is None else facts
-    runs = table_lineage.where((F.col("entity_type") == "PIPELINE") & F.col("entity_run_id").isNotNull()
-                               & F.col("target_table_full_name").isNotNull()).select(
+    writes = table_lineage.where(F.col("entity_type") == "PIPELINE").select(
         F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("target"),
         F.col("entity_run_id").alias("run_id"), F.col("source_table_full_name").alias("source"), F.col("ts_ms").alias("seen_ms"))
     targets = owned.withColumnRenamed("table_name", "target")
+
+    def picked(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+        return rows.join(few.select(*[F.col(k).alias(f"of_{k}") for k in keys]).distinct(), reduce(and_, same), "left_semi")
+
+    def moment(ms: str) -> Column:
+        return F.coalesce(ms, F.lit(0).cast("bigint"))  # of NULL too; `picked` tells them apart
+
     last = facts.where((F.col("entity_type") == "PIPELINE") & F.col("has_run")).select(
-        F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("target"), F.col("run_ts_ms").alias("last_ms"))
-    wanted = pipelines.join(last, "pipeline_id").join(targets, ENTITY + ["target"], "left_semi").select(
-        F.col("pipeline_id").alias("of"), F.col("target").alias("into"), "last_ms").distinct()
-    newest = (runs.join(cut_lineage(wanted), (F.col("pipeline_id") == F.col("of")) & (F.col("target") == F.col("into"))
-                        & F.col("seen_ms").eqNullSafe(F.col("last_ms")), "left_semi")
-              .select("pipeline_id", "target", "run_id", "seen_ms").distinct()
-              .groupBy("pipeline_id", "target").agg(F.max(F.struct("seen_ms", "run_id")).alias("run")))
+        F.col("entity_id").alias("pipeline_id"), F.col("target_table_full_name").alias("target"), F.col("run_ts_ms").alias("seen_ms"))
+    wanted = cut_lineage(pipelines.join(last, "pipeline_id").join(targets, ENTITY + ["target"], "left_semi")
+                         .select("pipeline_id", "target", "seen_ms").distinct())
+    at_times = writes.join(wanted.select(moment("seen_ms").alias("at")).distinct(), moment("seen_ms") == F.col("at"), "left_semi")
+    newest = cut_lineage(picked(at_times, wanted, ["pipeline_id", "target", "seen_ms"])
+                         .select("pipeline_id", "target", "run_id", "seen_ms").distinct()
+                         .groupBy("pipeline_id", "target")
+                         .agg(F.max(F.when(F.col("run_id").isNotNull(), F.struct("seen_ms", "run_id"))).alias("run")))
     latest = (pipelines.join(newest, "pipeline_id").join(targets, ENTITY + ["target"], "left_semi")
               .groupBy(*ENTITY, "target").agg(F.max("run").alias("run"))
               .select(*ENTITY, "target", F.col("run.run_id").alias("run_id")))
     chosen = cut_lineage(latest.join(pipelines, ENTITY))
     written = ["pipeline_id", "target", "run_id"]
-    reduced = (runs.join(chosen.select(*written).distinct(), written, "left_semi")
-               .groupBy(*written, "source").agg(F.max("seen_ms").alias("seen_ms")))
+    run = F.xxhash64("run_id")  # a number is looked up faster than a name; `picked` tells equal hashes apart
+    of_runs = writes.join(chosen.select(run.alias("hash")).distinct(), run == F.col("hash"), "left_semi")
+    reduced = cut_lineage(picked(of_runs, chosen, written).groupBy(*written, "source").agg(F.max("seen_ms").alias("seen_ms")))
     return (chosen.join(reduced, written)
             .where(F.col("source").isNotNull() & (F.col("source") != F.col("target")))
             .groupBy(*ENTITY, "target", "source").agg(F.max("seen_ms").alias("seen_ms")))
@@ -126,11 +139,13 @@ def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
     """
     readable = table_meta.where(F.coalesce(F.col("access") != NO_ACCESS, F.lit(True)))
     views = readable.where(F.col("table_type").isin(*VIEW_TYPES)).select(F.col("table_name").alias("name"))
-    steps = (view_deps.select(F.col("view_name").alias("name"), "dep").where(F.col("dep").isNotNull()).distinct()
-             .join(views, "name", "left_semi"))
+    steps = cut_lineage(view_deps.select(F.col("view_name").alias("name"), "dep").where(F.col("dep").isNotNull()).distinct()
+                        .join(views, "name", "left_semi"))  # else every level would sort and join both again
+    steps = steps.where(F.col("dep").isNotNull())  # said again, or a level would be one thing to the next and another in the result
     level = roots.select(F.col("table_name").alias("root"), F.col("table_name").alias("name")).distinct()
     nearest, depth, more = level.withColumn("depth", F.lit(0)), 0, True
     while more and (max_depth is None or depth < max_depth):
+        start = depth
         upto = depth + LEVELS_PER_CUT if max_depth is None else min(depth + LEVELS_PER_CUT, max_depth)
         below = None
         while depth < upto:
@@ -139,8 +154,9 @@ def expand_views(roots: DataFrame, table_meta: DataFrame, view_deps: DataFrame,
             named = level.withColumn("depth", F.lit(depth))
             below = named if below is None else below.unionByName(named)
         if depth != max_depth:
-            below, found = cut_counted(below.join(nearest.select("root", "name"), ["root", "name"], "left_anti"),
-                                       n=F.count_if(F.col("depth") == depth))
+            # an anti-join with the names seen would be put below each level, which then is not the one that the next reads
+            seen = nearest.unionByName(below).groupBy("root", "name").agg(F.min("depth").alias("depth"))
+            below, found = cut_counted(seen.where(F.col("depth") > start), n=F.count_if(F.col("depth") == depth))
             level, more = below.where(F.col("depth") == depth).select("root", "name"), found["n"]
         nearest = nearest.unionByName(below)
     nearest = nearest.groupBy("root", "name").agg(F.min("depth").alias("depth"))
@@ -204,16 +220,20 @@ def lineage_facts(table_lineage: DataFrame) -> DataFrame:
 class Discovery:
     """The steps from entities to their sources, each worked out when it is first asked for.
 
-    Raw lineage is read for its facts and twice for the edges, each time without a shuffle of its rows; the facts, targets,
-    edges and sources are written out, since later steps use them many times.
+    Raw lineage is read for its facts and twice for the edges, each time without a shuffle of its rows; the resolved names, facts,
+    targets, edges and sources are written out, since later steps use them many times.
     """
 
     def __init__(self, entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame, table_lineage: DataFrame,
                  table_meta: DataFrame, view_deps: DataFrame, max_depth: int | None = None):
-        self.resolved = resolved.join(entities.select(*ENTITY).distinct(), ENTITY, "left_semi")
+        self.entities, self.all_resolved = entities, resolved
         self.job_tasks, self.table_lineage, self.table_meta = job_tasks, table_lineage, table_meta  # raw lineage
         self.view_deps, self.max_depth = view_deps, max_depth
 
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return cut_lineage(self.all_resolved.join(self.entities.select(*ENTITY).distinct(), ENTITY, "left_semi"))
+
     @cached_property
     def pipelines(self) -> DataFrame:
         return cut_lineage(entity_pipelines(self.resolved, self.job_tasks))
@@ -261,7 +281,7 @@ def tracker_rows(entities: DataFrame, resolved: DataFrame, job_tasks: DataFrame,
     """
     steps = Discovery(entities, resolved, job_tasks, table_lineage, table_meta, view_deps, max_depth)
     group = ENTITY + ["src_group"]
-    requested = entities.select(*group).distinct()
+    requested = cut_lineage(entities.select(*group).distinct())
     sources = steps.sources.join(requested, ENTITY)
     unknown = None
     if subset is not None:

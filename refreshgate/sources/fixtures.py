@@ -23,6 +23,14 @@ BASE_SCHEMAS = {
 }
 BASE_TABLES = tuple(BASE_SCHEMAS)
 
+# what raw lineage holds of a row: itself; for some also another workspace's and an old one; for some of a pipeline two more
+_EVERY = "'w-1', null, null, false, 0"
+_SOME = (_EVERY, "'w-2', null, 'main.demo.t1', false, 0", f"'w-1', 'main.demo.old', null, false, {200 * MS_PER_DAY}")
+_PIPELINE = (*_SOME, "'w-1', null, 'main.demo.__materialization_x', false, 0", "'w-1', null, null, true, 0")
+LINEAGE_COPIES = "select kind, workspace_id, other_source, other_target, self, cast(age_ms as bigint) as age_ms from values " + ", ".join(
+    f"({kind}, {copy})" for kind, copies in enumerate([(_EVERY,), _SOME, _PIPELINE]) for copy in copies
+) + " as copies(kind, workspace_id, other_source, other_target, self, age_ms)"
+
 SPARK_TOKENS = {"micros": "unix_micros", "div": "div", "array": "array", "map": "map_from_arrays"}
 DUCKDB_TOKENS = {"micros": "epoch_us", "div": "//", "array": "list_value", "map": "map"}
 
@@ -280,26 +288,18 @@ class Fixtures:
     @cached_property
     def raw_lineage(self) -> DataFrame:
         """A table that also holds another workspace, older days, a pipeline's bookkeeping tables and self-edges. Each row
-        of the test table is read once."""
-        def day(ms):
-            return F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast({ms} div {MS_PER_DAY} as int)"))
-
+        of the test table is read once and joined with the copies of its kind, so that a reader's filters come before its names
+        are put together."""
         source, target, ts_ms = (F.col(c) for c in ("source_table_full_name", "target_table_full_name", "ts_ms"))
-
-        def copy(workspace="w-1", source=source, target=target, ts_ms=ts_ms):
-            return F.struct(F.lit(workspace).alias("workspace_id"), source.alias("source_table_full_name"),
-                            target.alias("target_table_full_name"), ts_ms.alias("ts_ms"))
-
-        others = [copy(), copy("w-2", target=F.lit("main.demo.t1")),
-                  copy(source=F.lit("main.demo.old"), ts_ms=ts_ms - 200 * MS_PER_DAY)]
-        own = [copy(target=F.lit("main.demo.__materialization_x")), copy(source=target)]
         some = source.endswith("7")
-        copies = (F.when(some & (F.col("entity_type") == "PIPELINE"), F.array(*others, *own)).when(some, F.array(*others))
-                  .otherwise(F.array(copy())))
-        entity = ["entity_type", "entity_id", "entity_run_id"]
-        rows = self.view("table_lineage").select(*entity, F.explode(copies).alias("copy")).select(*entity, "copy.*")
-        return rows.select("workspace_id", "source_table_full_name", "target_table_full_name", *entity, "ts_ms",
-                           day("ts_ms").alias("event_date"))
+        kind = F.when(some & (F.col("entity_type") == "PIPELINE"), 2).when(some, 1).otherwise(0)
+        copies = self.spark.sql(LINEAGE_COPIES)
+        rows = self.view("table_lineage").withColumn("kind", kind).join(F.broadcast(copies), "kind")
+        copied = rows.select(
+            "workspace_id", F.when(F.col("self"), target).otherwise(F.coalesce("other_source", source)).alias("source_table_full_name"),
+            F.coalesce("other_target", target).alias("target_table_full_name"), "entity_type", "entity_id", "entity_run_id",
+            (ts_ms - F.col("age_ms")).alias("ts_ms"))
+        return copied.withColumn("event_date", F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast(ts_ms div {MS_PER_DAY} as int)")))
 
     @cached_property
     def view_deps(self) -> DataFrame:

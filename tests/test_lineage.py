@@ -125,3 +125,47 @@ def test_facts_are_a_row_per_writer_and_target(spark):
     owned = relation(spark, "entity_type string, entity_name string, table_name string", [("JOB", "J", f"t{n}") for n in (1, 2, 3, 4)])
     edges = lineage.latest_write_edges(pipelines, owned, relation(spark, schemas.TABLE_LINEAGE, rows))
     assert records(edges, "target", "source", "seen_ms") == [("t1", "early", 3), ("t1", "s2", 149), ("t2", "b", 50), ("t2", "c", None), ("t3", "y", None)]
+
+
+def test_other_rows_of_lineage_are_asked_for_one_number_alone(spark, tmp_path, monkeypatch):
+    """Of the kind of their writer and their time or run, before anything else: a row of another time or run needs no names."""
+    rows = [("w", "PIPELINE", "p", f"r{n}", f"s{n}", "t", n, None) for n in range(9)] + [("w", "PIPELINE", None, None, None, None, None, None)]
+    relation(spark, schemas.TABLE_LINEAGE, rows).write.parquet(str(tmp_path / "lineage"))
+    raw, plans, cut = spark.read.parquet(str(tmp_path / "lineage")), [], lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    pipelines = relation(spark, "entity_type string, entity_name string, pipeline_id string", [("JOB", "J", "p")])
+    owned = relation(spark, "entity_type string, entity_name string, table_name string", [("JOB", "J", "t")])
+    facts = cut(lineage.lineage_facts(raw))
+    edges = lineage.latest_write_edges(pipelines, owned, raw, facts)
+    assert records(edges, "target", "source", "seen_ms") == [("t", "s8", 8)]
+    plans.append(edges._jdf.queryExecution().executedPlan().toString())
+    scans = [line for plan in plans for line in plan.splitlines() if "FileScan" in line and "entity_run_id" in line]
+    assert len(scans) == 2 and all("PushedFilters: [IsNotNull(entity_type), EqualTo(entity_type,PIPELINE)]" in line for line in scans)
+
+
+def test_metadata_is_reduced_to_the_tables_written(spark):
+    pipelines = relation(spark, "entity_type string, entity_name string, pipeline_id string", [("PIPELINE", "P", "p")])
+    rows = relation(spark, schemas.TABLE_LINEAGE, [("w", "PIPELINE", "p", "r", "s", t, 1, None) for t in ("t0", "t1", "gone")])
+    known = meta(spark, *[(f"t{n}", "MANAGED", "p" if n else "q", None) for n in range(50)])
+    targets = lineage.lineage_targets(pipelines, rows, known)
+    assert records(targets, "table_name", "status", "reason") == [("gone", "IGNORED", "NotFound"), ("t0", "IGNORED", "pipeline_id=q"), ("t1", "OWNED", None)]
+    assert "LeftSemi" in targets._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_level_of_views_is_worked_out_once(spark, tmp_path, monkeypatch):
+    """Not a second time for the levels below it."""
+    plans, cut = [], lineage.cut_counted
+    monkeypatch.setattr(lineage, "cut_counted", lambda df, **counts: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, **counts))
+    names = [f"v{n}" for n in range(9)]
+    deps = [*zip(names, names[1:]), (names[-1], "t"), (names[3], names[1])]
+    rows = meta(spark, *[(n, "VIEW", None, None) for n in names], ("t", "MANAGED", None, None))
+    relation(spark, "table_name string", [(names[0],), (names[2],)]).write.parquet(str(tmp_path / "roots"))
+    roots = spark.read.parquet(str(tmp_path / "roots"))  # known to be small
+    monkeypatch.setattr(lineage, "LEVELS_PER_CUT", 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = records(lineage.expand_views(roots, rows, relation(spark, schemas.VIEW_DEPS, deps)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == [(names[0], "t", "TABLE"), (names[2], "t", "TABLE")]
+    assert plans[0].count("Inner") == 3 and "LeftSemi" not in plans[0]  # one join a level, the views found before all of them
